@@ -68,7 +68,7 @@ def match_label(text: Column, classes: Sequence[str]) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
 
 
-def serialize_top(df: DataFrame, cols: Sequence[str], k: int, digits: int = 4) -> Column:
+def serialize_top(df: DataFrame, cols: Sequence[str], k: int, fmt: str = "%s=%.4g") -> Column:
     """``name=value`` of the k columns with the largest absolute value, largest first, ties by name."""
     items = F.array(
         *[
@@ -81,7 +81,6 @@ def serialize_top(df: DataFrame, cols: Sequence[str], k: int, digits: int = 4) -
         ]
     )
     top = F.slice(F.array_sort(items), 1, k)
-    fmt = f"%s=%.{digits}g"
     return F.array_join(F.transform(top, lambda s: F.format_string(fmt, s["name"], s["value"])), ", ")
 
 

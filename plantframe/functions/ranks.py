@@ -25,9 +25,17 @@ def exact_percentile(
         F.percentile_approx(
             "_x", [max(0.0, q - slack), min(1.0, q + slack)], ACCURACY
         ).alias("_b"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
         F.count(F.lit(1)).alias("_n"),
     )
-    low = bracket.select(*keys, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    # a small group is its own bracket; in a large one the slack is several ranks wide
+    small = F.col("_n") <= ACCURACY
+    low = bracket.select(
+        *keys, "_n",
+        F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
+        F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
+    )
     marked = data.join(low, list(keys))
     counted = (
         marked.withColumn("_below", F.col("_x") < F.col("_lo"))

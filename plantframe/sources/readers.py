@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ..functions.columns import MICROS, first_present, strip_names, to_instant, to_number
 
@@ -100,20 +101,29 @@ def read_tagged(spark: SparkSession, folder: str, role: str, columns: Sequence[s
     tag columns; a file without one of them gives nulls.
     """
     globs = {"train": ["*train*", "*normal*"], "test": ["*test*"]}[role]
+    names: set[str] = set()
     for glob in globs:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path")
-        paths = [r["path"] for r in found.collect()]
-        if paths:
-            break
-    else:
+        try:
+            listed = spark.read.format("binaryFile").load(f"{folder}/{glob}").select("path")
+        except AnalysisException:  # the pattern matches nothing
+            continue
+        anchor = folder.rstrip("/").rsplit("/", 1)[-1]
+        names = {
+            row["name"]
+            for row in listed.select(
+                F.regexp_extract("path", f".*/\\Q{anchor}\\E/([^/]+)", 1).alias("name")
+            ).distinct().collect()
+        }
+        break
+    if not names:
         raise FileNotFoundError(f"no {role} file in {folder}")
     parts = None
-    for path in sorted(paths):
-        raw = resolve_columns(text_table(spark, path))
+    for name in sorted(names):
+        raw = resolve_columns(text_table(spark, f"{folder}/{name}"))
         keep = [c for c in columns if c in raw.columns]
         part = raw.select(
             "ts", "attack", *[to_number(c).alias(c) for c in keep],
-            F.lit(path.rsplit("/", 1)[-1]).alias("file"),
+            F.lit(name).alias("file"),
         ).filter("ts IS NOT NULL")
         parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
     return parts
