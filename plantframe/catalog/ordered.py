@@ -21,11 +21,11 @@ ROLLED = """rolled AS (SELECT *, count(value) OVER w AS n_window, var_pop(value)
 
 @query(
     "win_rolling_var",
-    f"WITH {READINGS}, {ROLLED} SELECT row_id, n_window, CASE WHEN n_window >= 3 THEN round(rolling_var, 6) END AS rolling_var FROM rolled",
+    f"WITH {READINGS}, {ROLLED} SELECT row_id, n_window, CASE WHEN n_window >= 3 THEN round(sqrt(rolling_var), 6) END AS rolling_std FROM rolled",
 )
 def win_rolling_var(t: Tables):
     rolled = rolling.rolling_variance(t.readings, ["series", "sensor"], "t_us", DAY)
-    return rolled.select("row_id", "n_window", r(F.when(F.col("n_window") >= 3, F.col("rolling_var")), 6, "rolling_var"))
+    return rolled.select("row_id", "n_window", r(F.when(F.col("n_window") >= 3, F.sqrt("rolling_var")), 6, "rolling_std"))
 
 
 @query(
@@ -58,7 +58,7 @@ def win_segments(t: Tables):
 
 
 COOLED = """cand AS (SELECT series, sensor, t_us, min(row_id) AS row_id FROM readings WHERE value > 60 GROUP BY 1, 2, 3),
-  nxt AS (SELECT a.series, a.sensor, a.t_us, a.row_id, (SELECT min(b.t_us) FROM cand b WHERE b.series = a.series AND b.sensor = a.sensor AND b.t_us >= a.t_us + 3600000000) AS next_t FROM cand a),
+  nxt AS (SELECT *, min(t_us) OVER (PARTITION BY series, sensor ORDER BY t_us RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_t FROM cand),
   kept AS (SELECT series, sensor, min(t_us) AS t_us FROM cand GROUP BY 1, 2
     UNION ALL SELECT k.series, k.sensor, n.next_t FROM kept k JOIN nxt n ON n.series = k.series AND n.sensor = k.sensor AND n.t_us = k.t_us WHERE n.next_t IS NOT NULL)"""
 

@@ -246,6 +246,7 @@ def cooldown(
     )
     sliced = with_slice(single, t, slice_s)
     key_fields = [single.schema[k] for k in keys]
+    columns = single.columns
 
     summary_schema = T.StructType(
         [*key_fields, T.StructField(SLICE, T.LongType()),
@@ -289,7 +290,7 @@ def cooldown(
         while at < len(times):
             kept.append(at)
             at = int(np.searchsorted(times, times[at] + gap))
-        return pdf.iloc[kept][list(single.columns)]
+        return pdf.iloc[kept][columns]
 
     return (
         sliced.join(entries, [*keys, SLICE])
