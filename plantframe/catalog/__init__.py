@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import sources, projections, joins, aggregates, ordered, constraints  # noqa: F401
+from . import sources, projections, joins, aggregates, ordered, constraints, learning, streams  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -16,7 +16,7 @@ from .aggregates import (
 )
 from .base import BUCKET_S, BUCKETED, READINGS, SENSORS, WINDOWS, Tables, query, r
 from .joins import OVERLAP_LABEL, SEG, labelled_rows
-from .ordered import COOLED, ROLLED
+from .ordered import rolled_sql
 
 KEYS, BASE_KEYS = ["series", "bucket"], ["series"]
 SLICE = 86_400
@@ -480,7 +480,7 @@ def met_window_fpr(t: Tables):
     return scoring.window_false_positives(w).select("n_normal", "n_flagged", r("window_fpr"))
 
 
-DETECT = f"""WITH RECURSIVE {WINDOWS}, {STREAM_BASE}, {ROLLED},
+DETECT = f"""WITH RECURSIVE {WINDOWS}, {STREAM_BASE}, {rolled_sql(7200)},
   c0 AS (SELECT r.series, r.sensor, r.t_us, r.row_id, u.kind FROM rolled r JOIN base b ON b.series = r.series AND b.sensor = r.sensor, (VALUES ('z_score_spike'), ('variance_collapse')) u(kind)
     WHERE n_window >= 3 AND b.std >= 1e-5 AND CASE kind WHEN 'z_score_spike' THEN abs((value - mean) / std) >= 3.5 ELSE rolling_var < 0.05 * variance AND variance > 1e-8 END),
   cn AS (SELECT *, min(t_us) OVER (PARTITION BY series, sensor, kind ORDER BY t_us RANGE BETWEEN 3600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM c0),
@@ -493,5 +493,5 @@ DETECT = f"""WITH RECURSIVE {WINDOWS}, {STREAM_BASE}, {ROLLED},
 @query("det_alerts", f"{DETECT} SELECT row_id, series, sensor, alert_type FROM al")
 def det_alerts(t: Tables):
     base = baseline.detector_baseline(warm_readings(t))
-    alerts = rolling.detect(t.readings, base, ("series", "sensor"), 86400, 3600, 21600, 6 * 86400)
+    alerts = rolling.detect(t.readings, base, ("series", "sensor"), 7200, 3600, 21600, 6 * 86400)
     return alerts.select("row_id", "series", "sensor", "alert_type")

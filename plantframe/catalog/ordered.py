@@ -15,8 +15,14 @@ from .projections import packet_table
 
 DAY = 86_400
 
-ROLLED = """rolled AS (SELECT *, count(value) OVER w AS n_window, var_pop(value) OVER w AS rolling_var FROM readings
-    WINDOW w AS (PARTITION BY series, sensor ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW))"""
+
+
+def rolled_sql(seconds: int) -> str:
+    return f"""rolled AS (SELECT *, count(value) OVER w AS n_window, var_pop(value) OVER w AS rolling_var FROM readings
+    WINDOW w AS (PARTITION BY series, sensor ORDER BY t_us RANGE BETWEEN {seconds}000000 PRECEDING AND CURRENT ROW))"""
+
+
+ROLLED = rolled_sql(DAY)
 
 
 @query(
