@@ -74,7 +74,7 @@ COOLED = """cand AS (SELECT series, sensor, t_us, min(row_id) AS row_id FROM rea
     f"WITH RECURSIVE {READINGS}, {COOLED} SELECT row_id FROM kept JOIN cand USING (series, sensor, t_us)",
 )
 def win_cooldown(t: Tables):
-    return cooldown(t.readings.filter("value > 60"), ["series", "sensor"], "t_us", "row_id", 3600, 6 * 3600).select("row_id")
+    return cooldown(t.readings.filter("value > 60"), ["series", "sensor"], "t_us", "row_id", 3600).select("row_id")
 
 
 @query(

@@ -29,6 +29,26 @@ def with_slice(df: DataFrame, t: str, slice_s: float) -> DataFrame:
     return df.withColumn(SLICE, floor_to(F.col(t), int(slice_s * MICROS)))
 
 
+def fitting_slice(
+    df: DataFrame, keys: Sequence[str], t: str, least_s: float, most_rows: int = 500_000
+) -> float:
+    """The longest slice, in doublings of ``least_s``, whose busiest piece stays within ``most_rows``.
+
+    Rows are counted per key and shortest slice first; the driver sees one number per doubling.
+    """
+    base = int(least_s * MICROS)
+    widths = [base << i for i in range(0, 25)]
+    fine = df.groupBy(*keys, floor_to(F.col(t), base).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
+    coarse = fine.select(
+        *keys, "_c", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), floor_to(F.col("_f"), w).alias("s")) for w in widths])).alias("g")
+    )
+    busiest = (
+        coarse.groupBy(*keys, "g").agg(F.sum("_c").alias("_n")).groupBy("g.w").agg(F.max("_n").alias("_n"))
+    )
+    fits = [row["w"] for row in busiest.collect() if row["_n"] <= most_rows]
+    return max(fits, default=base) / MICROS
+
+
 def range_frame(
     df: DataFrame,
     keys: Sequence[str],
@@ -226,18 +246,18 @@ def _last_of_chain(times: np.ndarray, gap: int) -> np.ndarray:
 
 
 def cooldown(
-    df: DataFrame, keys: Sequence[str], t: str, tie: str, gap_s: float, slice_s: float
+    df: DataFrame, keys: Sequence[str], t: str, tie: str, gap_s: float, slice_s: float | None = None
 ) -> DataFrame:
     """Keep a row only if it comes at least ``gap_s`` after the last *kept* row of its key.
 
     The rule is greedy, so it is a chain through the whole history. A slice depends on the past only
     through the last kept instant, and that matters only while its silence reaches into the slice.
     So: per slice, the outcome for each possible first kept row; then one pass over these summaries
-    per key; then the rows of each slice with the known entry state.
+    per key; then the rows of each slice with the known entry state. Without a given length, slices are
+    as long as a task can hold.
     """
     gap = max(int(gap_s * MICROS), 1)
-    slice_s = max(slice_s, gap_s)
-    width = int(slice_s * MICROS)
+    slice_s = max(slice_s or fitting_slice(df, keys, t, max(gap_s, 1.0)), gap_s)
     # of rows at the same instant only the first can be kept
     single = (
         df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, t).orderBy(tie)))

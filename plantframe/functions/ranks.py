@@ -100,7 +100,7 @@ def _cut_points(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> D
     """
     spark = df.sparkSession
     shares = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, ACCURACY).alias("_cuts"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * parts).alias("_cuts"))
     return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
@@ -118,9 +118,9 @@ def running_total(
     parts are summed first, then each part is ordered on its own.
     """
     cuts = _cut_points(df, keys, value, parts)
-    binned = df.join(F.broadcast(cuts), list(keys)).withColumn(
-        "_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    ).drop("_cuts")
+    # written out as a sum, the comparisons stay in generated code
+    part = sum(((F.col("_cuts")[i] < F.col(value)).cast("int") for i in range(parts - 1)), F.lit(0))
+    binned = df.join(F.broadcast(cuts), list(keys)).withColumn("_part", part).drop("_cuts")
     line = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = binned.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(

@@ -34,7 +34,7 @@ def feature_matrix(
     df: DataFrame, cols: Sequence[str], log_above: float = 2.0, out: str = "features"
 ) -> DataFrame:
     """Median for nulls, log1p where the skew is large, then mean 0 and deviation 1."""
-    filled = fill_with_median(df, cols)
+    filled = stage(fill_with_median(df, cols), "filled")
     skewed = {r["feature"] for r in skew(filled, cols, log_above).select("feature").collect()}
     ready = filled.select(
         *[

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import one_value
 from ..functions.ranks import running_total
+from ..session import stage
 
 
 def per_column(df: DataFrame, cols: Sequence[str], stats: dict, keys: Sequence[str] = ()) -> DataFrame:
@@ -241,7 +242,7 @@ def mann_whitney(
         .groupBy("feature", "v")
         .agg(F.sum("_a").alias("n1"), F.sum(1 - F.col("_a")).alias("n0"))
     )
-    placed = running_total(counts, ["feature"], "v", ["n0"], parts)
+    placed = running_total(stage(counts, "value-counts"), ["feature"], "v", ["n0"], parts)
     ties = (F.col("n1") + F.col("n0")).cast("double")
     sums = placed.groupBy("feature").agg(
         F.sum(F.col("n1") * (F.col("before_n0") + F.col("n0") / 2.0)).alias("u"),

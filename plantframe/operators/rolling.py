@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import MICROS
 from ..functions.ordered import cooldown, range_frame
+from ..session import stage
 from .intervals import points_in_windows
 
 # Fixed values of the detector.
@@ -112,10 +113,7 @@ def detect(
     """Readings to alerts: rolling window, both rules, cooldown per sensor and type, promotion."""
     rolled = rolling_variance(readings, keys, "t_us", window_s, slice_s)
     found = candidates(rolled, baseline, keys)
-    kept = cooldown(
-        found, [*keys, "alert_type"], "t_us", "row_id", cooldown_s,
-        slice_s or 1000 * max(cooldown_s, 1),
-    )
+    kept = cooldown(stage(found, "candidates"), [*keys, "alert_type"], "t_us", "row_id", cooldown_s)
     return promote(kept, keys[0], promote_s, slice_s)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import one_value
 from ..functions.ordered import segments
+from ..session import stage
 from .intervals import overlapping
 
 
@@ -29,8 +30,8 @@ def event_scores(
     A flagged run counts if it overlaps [start - buffer, end + buffer] of a true run, a true run if a
     flagged one overlaps [start - buffer, end]. Steps are positions, not time.
     """
-    actual = segments(labelled, keys, t, tie, truth, slice_s)
-    found = segments(labelled, keys, t, tie, flagged, slice_s)
+    actual = stage(segments(labelled, keys, t, tie, truth, slice_s), "true-runs")
+    found = stage(segments(labelled, keys, t, tie, flagged, slice_s), "flagged-runs")
     hit = overlapping(actual, found, keys, buffer_steps, 0)
     # a flagged run overlaps the widened true run exactly if the true run overlaps it widened alike
     valid = overlapping(found, actual, keys, buffer_steps, buffer_steps)

@@ -6,7 +6,6 @@ that is once the watermark has passed its end.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -115,6 +114,7 @@ ALERT_SCHEMA = (
     "series STRING, sensor STRING, ts TIMESTAMP, t_us LONG, row_id LONG, alert_type STRING, "
     "z_score DOUBLE, rolling_var DOUBLE, baseline_var DOUBLE, confidence STRING"
 )
+ALERT_NAMES = [part.split()[0] for part in ALERT_SCHEMA.split(", ")]
 DETECTOR_STATE = "t ARRAY<LONG>, v ARRAY<DOUBLE>, last_spike LONG, last_collapse LONG, upto LONG"
 LONG_AGO = -(1 << 62)
 
@@ -137,46 +137,54 @@ def detector(
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            t0, v0, last_spike, last_collapse, upto = state.get
-            times, values = deque(t0), deque(v0)
-        else:
-            times, values, last_spike, last_collapse, upto = deque(), deque(), LONG_AGO, LONG_AGO, LONG_AGO
+        old_t, old_v, last_spike, last_collapse, upto = state.get if state.exists else ([], [], LONG_AGO, LONG_AGO, LONG_AGO)
         rows = pd.concat(list(batches)).sort_values(["t_us", "row_id"])
-        out = []
-        groups = rows[rows["t_us"] > upto].groupby("t_us", sort=True)
-        for t, same in groups:
+        rows = rows[rows["t_us"] > upto]
+        t = np.concatenate([np.array(old_t, np.int64), rows["t_us"].to_numpy(np.int64)])
+        v = np.concatenate([np.array(old_v, float), rows["value"].to_numpy(float)])
+        if len(rows):
+            mean, std, variance = (float(rows[c].iloc[0]) for c in ("mean", "std", "variance"))
+            here = np.arange(len(old_t), len(t))
             # rows at one instant see the same window, as a RANGE frame does
-            times.extend([t] * len(same))
-            values.extend(same["value"])
-            while times[0] < t - width:
-                times.popleft()
-                values.popleft()
-            upto = int(t)
-            if len(values) < MIN_VALUES:
-                continue
-            var = float(np.var(np.fromiter(values, float)))
-            for row in same.itertuples():
-                z = (row.value - row.mean) / row.std
-                limit = COLLAPSE_SHARE * row.variance
-                if abs(z) >= Z_SPIKE and t - last_spike >= gap:
-                    out.append(
-                        (*key, row.ts, t, row.row_id, SPIKE, round(z, 3), round(var, 6),
-                         round(row.variance, 6), "high" if abs(z) > Z_HIGH else "medium")
-                    )
-                    last_spike = int(t)
-                if var < limit and row.variance > MIN_VARIANCE and t - last_collapse >= gap:
-                    out.append(
-                        (*key, row.ts, t, row.row_id, COLLAPSE, None, round(var, 9),
-                         round(row.variance, 6), "high" if var < limit / 10 else "medium")
-                    )
-                    last_collapse = int(t)
-        state.update((list(times), list(values), last_spike, last_collapse, upto))
-        names = [c.split()[0] for c in ALERT_SCHEMA.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        frame["z_score"] = frame["z_score"].astype(float)
-        if out:
-            yield frame
+            low, high = np.searchsorted(t, t[here] - width), np.searchsorted(t, t[here], "right")
+            count = high - low
+            centred = v - mean
+            sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (centred, centred**2))
+            rough = (squares[high] - squares[low]) / count - ((sums[high] - sums[low]) / count) ** 2
+            z = centred[here] / std
+            limit = COLLAPSE_SHARE * variance
+            enough = count >= MIN_VALUES
+            spikes = np.flatnonzero(enough & (np.abs(z) >= Z_SPIKE))
+            # running sums only preselect; the value that decides is computed from the window itself
+            near = np.flatnonzero(enough & (rough < limit * 1.001) & (variance > MIN_VARIANCE))
+            frozen = np.array([i for i in near if np.var(v[low[i] : high[i]]) < limit], dtype=int)
+
+            def kept(found: np.ndarray, last: int) -> tuple[list, int]:
+                chosen, times = [], t[here[found]]
+                at = int(np.searchsorted(times, last + gap))
+                while at < len(found):
+                    chosen.append(found[at])
+                    last = int(times[at])
+                    at = int(np.searchsorted(times, last + gap))
+                return chosen, last
+
+            out = []
+            ts, ids = rows["ts"].to_numpy(), rows["row_id"].to_numpy()
+            chosen, last_spike = kept(spikes, last_spike)
+            for i in chosen:
+                var = float(np.var(v[low[i] : high[i]]))
+                out.append((*key, ts[i], int(t[here[i]]), int(ids[i]), SPIKE, round(float(z[i]), 3), round(var, 6),
+                            round(variance, 6), "high" if abs(z[i]) > Z_HIGH else "medium"))
+            chosen, last_collapse = kept(frozen, last_collapse)
+            for i in chosen:
+                var = float(np.var(v[low[i] : high[i]]))
+                out.append((*key, ts[i], int(t[here[i]]), int(ids[i]), COLLAPSE, float("nan"), round(var, 9),
+                            round(variance, 6), "high" if var < limit / 10 else "medium"))
+            upto = int(t[-1])
+            if out:
+                yield pd.DataFrame(out, columns=ALERT_NAMES)
+        first = int(np.searchsorted(t, upto - width)) if len(t) else 0
+        state.update((t[first:].tolist(), v[first:].tolist(), last_spike, last_collapse, upto))
 
     return ready.groupBy("series", "sensor").applyInPandasWithState(
         step, ALERT_SCHEMA, DETECTOR_STATE, "append", GroupStateTimeout.NoTimeout
