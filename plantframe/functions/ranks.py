@@ -100,7 +100,7 @@ def _cut_points(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> D
     """
     spark = df.sparkSession
     shares = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 20 * parts).alias("_cuts"))
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 8 * parts).alias("_cuts"))
     return spark.createDataFrame(cuts.collect(), cuts.schema)
 
 
@@ -109,18 +109,24 @@ def running_total(
     keys: Sequence[str],
     value: str,
     measures: Sequence[str],
-    parts: int = 64,
+    parts: int = 256,
     prefix: str = "before_",
 ) -> DataFrame:
     """Add, per measure, its sum over the rows of the key with a smaller value.
 
     ``df`` holds one row per key and value. The line of values is cut into parts of about equal size;
-    parts are summed first, then each part is ordered on its own.
+    parts are summed first, then each part is ordered on its own. ``parts`` is a power of two.
     """
+    if parts < 2 or parts & (parts - 1):
+        raise ValueError("parts must be a power of two")
     cuts = _cut_points(df, keys, value, parts)
-    # written out as a sum, the comparisons stay in generated code
-    part = sum(((F.col("_cuts")[i] < F.col(value)).cast("int") for i in range(parts - 1)), F.lit(0))
-    binned = df.join(F.broadcast(cuts), list(keys)).withColumn("_part", part).drop("_cuts")
+    binned = df.join(F.broadcast(cuts), list(keys)).withColumn("_part", F.lit(0))
+    step = parts // 2
+    while step:  # binary search for the number of cut points below the value
+        below = F.col("_cuts")[F.col("_part") + (step - 1)] < F.col(value)
+        binned = binned.withColumn("_part", F.col("_part") + F.when(below, step).otherwise(0))
+        step //= 2
+    binned = binned.drop("_cuts")
     line = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = binned.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in measures])
     offsets = sums.select(
@@ -136,3 +142,28 @@ def running_total(
             for m in measures
         ],
     )
+
+
+def weighted_percentile(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float, name: str
+) -> DataFrame:
+    """Linear-interpolated percentile of values that stand for ``weight`` rows each."""
+    known = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
+        .agg(F.sum(weight).alias("_w"))
+    )
+    placed = running_total(known, keys, "_x", ["_w"])
+    totals = known.groupBy(*keys).agg((F.lit(q) * (F.sum("_w") - 1)).alias("_pos"))
+    upto = F.col("before__w") + F.col("_w")
+    at = lambda rank: F.min(F.when(upto > rank, F.col("_x")))
+    picked = placed.join(totals, list(keys)).groupBy(*keys).agg(
+        at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_z"),
+        F.first(F.col("_pos") - F.floor("_pos")).alias("_f"),
+    )
+    return picked.select(
+        *keys,
+        F.when(F.col("_f") == 0, F.col("_a"))
+        .otherwise(F.col("_a") * (1 - F.col("_f")) + F.col("_z") * F.col("_f"))
+        .alias(name),
+    )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MICROS, one_value
-from ..functions.ranks import exact_percentile
+from ..functions.ranks import exact_percentile, weighted_percentile
+from ..session import stage
 
 
 def melt(df: DataFrame, ids: Sequence[str], sensors: Sequence[str]) -> DataFrame:
@@ -74,21 +75,33 @@ def _fill_from(df: DataFrame, one_row: DataFrame, cols: Sequence[str]) -> DataFr
     )
 
 
+def _one_row(medians: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return medians.groupBy().agg(
+        *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in cols]
+    )
+
+
 def fill_with_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Nulls become the column's median over the rows of this table."""
     long = df.select(*cols).unpivot([], list(cols), "name", "x")
-    medians = exact_percentile(long, ["name"], "x", 0.5, "median")
-    one_row = medians.groupBy().agg(
-        *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in cols]
-    )
-    return _fill_from(df, one_row, cols)
+    return _fill_from(df, _one_row(exact_percentile(long, ["name"], "x", 0.5, "median"), cols), cols)
 
 
 def fuse(flows: DataFrame, buckets: DataFrame, on: Sequence[str], fill: bool = True) -> DataFrame:
-    """Flows with the sensor statistics of their bucket; gaps get the median over the joined rows."""
+    """Flows with the sensor statistics of their bucket; gaps get the median over the joined rows.
+
+    All flows of a bucket get the same statistics, so the medians come from the buckets weighted by their
+    flow counts; the flows themselves are joined once.
+    """
     joined = flows.join(buckets, list(on), "left")
     added = [c for c in buckets.columns if c not in on]
-    return fill_with_median(joined, added) if fill else joined
+    if not fill:
+        return joined
+    counts = flows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    weighed = stage(buckets.join(counts, list(on)).select("_n", *added), "bucket-weights")
+    long = weighed.unpivot(["_n"], added, "name", "x")
+    medians = weighted_percentile(long, ["name"], "x", "_n", 0.5, "median")
+    return _fill_from(joined, _one_row(medians, added), added)
 
 
 def coverage(flows: DataFrame, flow_bucket: Column, buckets: DataFrame, bucket: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import first_rows, previous_row
 from ..functions.ranks import exact_percentile
+from ..session import stage
 
 # Fixed values used for tags that have no baseline.
 NO_VARIANCE, NO_STD, NO_RATE = 1e-6, 1e-3, 1.0
@@ -78,8 +79,14 @@ def warmup_rows(
 def tag_baseline(warm: DataFrame, keys: Sequence[str], slice_s: float) -> DataFrame:
     """Population statistics per tag and the 99th percentile of the absolute step between rows."""
     known = warm.filter(F.col("value").isNotNull())
+    steps = stage(
+        previous_row(known, keys, "t_us", "row_id", ["value"], slice_s).select(
+            *keys, "value", F.abs(F.col("value") - F.col("prev_value")).alias("step")
+        ),
+        "warm-up",
+    )
     stats = (
-        known.groupBy(*keys)
+        steps.groupBy(*keys)
         .agg(
             F.avg("value").alias("mean"),
             (F.stddev_pop("value") + 1e-12).alias("std"),
@@ -88,9 +95,6 @@ def tag_baseline(warm: DataFrame, keys: Sequence[str], slice_s: float) -> DataFr
         )
         .filter(F.col("n_samples") >= 2)
     )
-    steps = previous_row(known, keys, "t_us", "row_id", ["value"], slice_s).select(
-        *keys, F.abs(F.col("value") - F.col("prev_value")).alias("step")
-    )
     rate = exact_percentile(steps, keys, "step", 0.99, "max_delta_per_step")
     return stats.join(rate, list(keys), "left").select(
         *keys, "mean", "std", "variance",

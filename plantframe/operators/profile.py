@@ -228,7 +228,7 @@ def _chi2_tail(x: float, dof: int) -> float | None:
 
 
 def mann_whitney(
-    df: DataFrame, cols: Sequence[str], is_attack: Column, n: int = 20, least: int = 5, parts: int = 64
+    df: DataFrame, cols: Sequence[str], is_attack: Column, n: int = 20, least: int = 5, parts: int = 256
 ) -> DataFrame:
     """Rank comparison of two parts per feature: U, effect |2U/(n1 n0) - 1| and the two-sided p-value.
 
