@@ -180,8 +180,7 @@ def agg_histogram(t: Tables):
     SELECT sensor, CAST(least(floor(el / ((SELECT max(el) FROM a) / 99)), 98) AS INTEGER) AS bin, count(*) AS n FROM a GROUP BY 1, 2""",
 )
 def agg_alert_density(t: Tables):
-    rows = t.readings.withColumn("plant", F.lit("all"))
-    a = align.with_elapsed(rows, ["plant"], "t_us").filter("value > 100")
+    a = align.with_elapsed(t.readings, [], "t_us").filter("value > 100")
     return profile.density_over_time(a, "elapsed_s", "sensor")
 
 
@@ -320,11 +319,11 @@ ACTIVE = """active AS (SELECT bucket, list_sort(list_distinct(list('P' || CAST(u
 
 @query(
     "agg_constraint_coverage",
-    f"""WITH {BUCKETED}, {FIRED}, {ACTIVE}, s AS (SELECT bucket, ids, CASE len(act) WHEN 1 THEN act[1] ELSE 'multi-process' END AS stratum
+    f"""WITH {BUCKETED}, {FIRED}, {ACTIVE}, s AS (SELECT bucket, coalesce(ids, []) AS ids, CASE len(act) WHEN 1 THEN act[1] ELSE 'multi-process' END AS stratum
       FROM fired JOIN active USING (bucket) WHERE len(act) > 0)
     SELECT coalesce(stratum, 'ALL') AS process, count(*) AS n_atk_win, round(100.0 * avg(list_contains(ids, 'C1')::INT), 1) AS "C1_pct",
       round(100.0 * avg(list_contains(ids, 'C2')::INT), 1) AS "C2_pct", round(100.0 * avg(list_contains(ids, 'C3')::INT), 1) AS "C3_pct",
-      round(100.0 * avg((coalesce(len(ids), 0) = 0)::INT), 1) AS invisible_pct FROM s GROUP BY ROLLUP (stratum)""",
+      round(100.0 * avg((len(ids) = 0)::INT), 1) AS invisible_pct FROM s GROUP BY ROLLUP (stratum)""",
 )
 def agg_constraint_coverage(t: Tables):
     e = t.events

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS
+from ..functions.columns import MICROS, epoch_us
 from ..session import scratch_path
 from ..sources import readers, sinks
 from ..sources.specs import load_specs, parse_spec_json
@@ -107,7 +107,7 @@ def stream_of_readings(t: Tables):
     raw = readers.stream_readings(t.spark, t.folder, schema=schema, name_filter="events.parquet")
     return raw.select(
         F.col("event_id").alias("row_id"), (F.col("user_id") % 2).cast("string").alias("series"),
-        F.col("event_type").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value",
+        F.col("event_type").alias("sensor"), F.timestamp_micros(epoch_us(raw, "ts")).alias("ts"), "value",
     )
 
 

@@ -32,12 +32,12 @@ def with_slice(df: DataFrame, t: str, slice_s: float) -> DataFrame:
 def fitting_slice(
     df: DataFrame, keys: Sequence[str], t: str, least_s: float, most_rows: int = 500_000
 ) -> float:
-    """The longest slice, in doublings of ``least_s``, whose busiest piece stays within ``most_rows``.
+    """The longest slice, in fourfold steps from ``least_s``, whose busiest piece stays within ``most_rows``.
 
-    Rows are counted per key and shortest slice first; the driver sees one number per doubling.
+    Rows are counted per key and shortest slice first; the driver sees one number per step.
     """
     base = int(least_s * MICROS)
-    widths = [base << i for i in range(0, 25)]
+    widths = [base << (2 * i) for i in range(13)]
     fine = df.groupBy(*keys, floor_to(F.col(t), base).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
     coarse = fine.select(
         *keys, "_c", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), floor_to(F.col("_f"), w).alias("s")) for w in widths])).alias("g")
@@ -170,29 +170,30 @@ def first_rows(
 ) -> DataFrame:
     """The first rows of each key. ``how_many`` is an expression over ``n``, the key's row count.
 
-    Whole slices are kept or dropped by their counts; only the slice holding the cut is ordered.
+    Counts per slice tell which slice holds the last row wanted; only that slice is ordered. Its row is
+    the cut, one per key, and the rest is a filter.
     """
-    sliced = with_slice(df, t, slice_s)
+    sliced = with_slice(df.select(*keys, t, tie), t, slice_s)
     line = Window.partitionBy(*keys)
-    counts = (
+    holding = (
         sliced.groupBy(*keys, SLICE)
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("n", F.sum("_c").over(line))
         .withColumn("_upto", F.sum("_c").over(line.orderBy(SLICE)))
         .select(
-            *keys, SLICE, (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", how_many.alias("_k")
+            *keys, SLICE, (F.col("_upto") - F.col("_c")).alias("_before"), "_upto",
+            F.least(how_many, F.col("n")).alias("_k"),
         )
-        .filter(F.col("_before") < F.col("_k"))
+        .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
     )
-    kept = sliced.join(counts, [*keys, SLICE])
-    whole = kept.filter(F.col("_upto") <= F.col("_k")).select(*df.columns)
     cut = (
-        kept.filter(F.col("_upto") > F.col("_k"))
+        sliced.join(holding, [*keys, SLICE])
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(t, tie)))
-        .filter(F.col("_before") + F.col("_rn") <= F.col("_k"))
-        .select(*df.columns)
+        .filter(F.col("_before") + F.col("_rn") == F.col("_k"))
+        .select(*keys, F.col(t).alias("_cut_t"), F.col(tie).alias("_cut_tie"))
     )
-    return whole.unionByName(cut)
+    upto = (F.col(t) < F.col("_cut_t")) | ((F.col(t) == F.col("_cut_t")) & (F.col(tie) <= F.col("_cut_tie")))
+    return df.join(cut, list(keys)).filter(upto).select(*df.columns)
 
 
 def segments(
@@ -205,9 +206,14 @@ def segments(
     numbered = row_ordinal(df.select(*keys, t, tie, flag), keys, t, tie, slice_s)
     sliced = with_slice(numbered, t, slice_s).withColumn("_on", F.col(flag).cast("int") == 1)
     # runs inside a slice: the ordinal minus the count of true rows so far is constant in a run
-    run = Window.partitionBy(*keys, SLICE).orderBy("ord")
+    whole = Window.partitionBy(*keys, SLICE)
+    run = whole.orderBy("ord")
+    bounds = [F.min("start_ord"), F.max("end_ord"), F.min("start_t"), F.max("end_t")]
+    names = ["start_ord", "end_ord", "start_t", "end_t"]
     pieces = (
         sliced.withColumn("_island", F.col("ord") - F.sum(F.col("_on").cast("long")).over(run))
+        .withColumn("_lo", F.min("ord").over(whole))
+        .withColumn("_hi", F.max("ord").over(whole))
         .filter("_on")
         .groupBy(*keys, SLICE, "_island")
         .agg(
@@ -215,22 +221,23 @@ def segments(
             F.max("ord").alias("end_ord"),
             F.min(t).alias("start_t"),
             F.max(t).alias("end_t"),
+            F.first("_lo").alias("_lo"),
+            F.first("_hi").alias("_hi"),
         )
+        .withColumn("_edge", (F.col("start_ord") == F.col("_lo")) | (F.col("end_ord") == F.col("_hi")))
     )
-    # pieces that touch across a slice edge are one run; one row per piece is left to order
+    # only pieces at a slice edge can go on in the next slice: at most two per slice are left to order
     line = Window.partitionBy(*keys).orderBy("start_ord")
     opened = F.when(F.lag("end_ord").over(line) == F.col("start_ord") - 1, 0).otherwise(1)
-    return (
-        pieces.withColumn("_new", opened)
-        .withColumn("seg_id", F.sum("_new").over(line))
-        .groupBy(*keys, "seg_id")
-        .agg(
-            F.min("start_ord").alias("start_ord"),
-            F.max("end_ord").alias("end_ord"),
-            F.min("start_t").alias("start_t"),
-            F.max("end_t").alias("end_t"),
-        )
+    stitched = (
+        pieces.filter("_edge")
+        .withColumn("_new", opened)
+        .withColumn("_run", F.sum("_new").over(line))
+        .groupBy(*keys, "_run")
+        .agg(*[b.alias(n) for b, n in zip(bounds, names)])
+        .select(*keys, *names)
     )
+    return pieces.filter("NOT _edge").select(*keys, *names).unionByName(stitched)
 
 
 def _last_of_chain(times: np.ndarray, gap: int) -> np.ndarray:

@@ -73,24 +73,30 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 def split_by_rank(
     df: DataFrame, keys: Sequence[str], order_hex: Column, fraction: float, name: str = "held_out"
 ) -> DataFrame:
-    """Mark exactly ``floor(fraction * n)`` rows per group, the first by a hex order.
+    """Mark exactly ``floor(fraction * n)`` rows per group, the first by a hex order without ties.
 
-    Groups are cut into 65,536 bins by the hash's head; the counts decide every bin but the one
-    holding the cut, and only that bin's rows are ordered.
+    Groups are cut into 65,536 bins by the hash's head; the counts tell which bin holds the last row
+    wanted, and only that bin is ordered. Marking is then a comparison with one hash per group.
     """
-    binned = df.withColumn("_h", order_hex).withColumn("_bin", F.substring("_h", 1, 4))
+    hashed = df.select(*keys, order_hex.alias("_h")).withColumn("_bin", F.substring("_h", 1, 4))
     line = Window.partitionBy(*keys)
-    bins = (
-        binned.groupBy(*keys, "_bin")
+    holding = (
+        hashed.groupBy(*keys, "_bin")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_quota", F.floor(F.lit(fraction) * F.sum("_c").over(line)))
+        .withColumn("_k", F.floor(F.lit(fraction) * F.sum("_c").over(line)))
         .withColumn("_upto", F.sum("_c").over(line.orderBy("_bin")))
-        .select(*keys, "_bin", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_quota")
+        .select(*keys, "_bin", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", "_k")
+        .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
     )
-    joined = binned.join(bins, [*keys, "_bin"])
     inside = Window.partitionBy(*keys, "_bin").orderBy("_h")
-    position = F.col("_before") + F.row_number().over(inside)
-    return joined.withColumn(name, position <= F.col("_quota")).select(*df.columns, name)
+    cut = (
+        hashed.join(holding, [*keys, "_bin"])
+        .withColumn("_rn", F.row_number().over(inside))
+        .filter(F.col("_before") + F.col("_rn") == F.col("_k"))
+        .select(*keys, F.col("_h").alias("_cut"))
+    )
+    marked = F.coalesce(order_hex <= F.col("_cut"), F.lit(False))
+    return df.join(cut, list(keys), "left").select(*[F.col(c) for c in df.columns], marked.alias(name))
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:

@@ -19,16 +19,16 @@ def melt(df: DataFrame, ids: Sequence[str], sensors: Sequence[str]) -> DataFrame
 
 
 def with_elapsed(df: DataFrame, series: Sequence[str], t_us: str, name: str = "elapsed_s") -> DataFrame:
-    """Seconds since the first instant of the row's own series.
+    """Seconds since the first instant of the row's own series, or of the table if there is one series.
 
     The first instants are one small aggregate; the rows are not moved or ordered.
     """
     first = df.groupBy(*series).agg(F.min(t_us).alias("_t0"))
-    return (
-        df.join(first, list(series))
-        .withColumn(name, (F.col(t_us) - F.col("_t0")) / F.lit(float(MICROS)))
-        .drop("_t0")
-    )
+    if series:
+        based = df.join(first, list(series))
+    else:
+        based = df.withColumn("_t0", one_value(first)["_t0"])
+    return based.select(*df.columns, ((F.col(t_us) - F.col("_t0")) / F.lit(float(MICROS))).alias(name))
 
 
 def clock_offset(a: DataFrame, a_us: str, b: DataFrame, b_us: str) -> DataFrame:

@@ -243,7 +243,7 @@ class PlantTags:
 
 def plant_windows(
     readings: DataFrame, baseline: DataFrame, keys: Sequence[str], base_keys: Sequence[str],
-    tags: PlantTags = PlantTags(), valve_floor: float | None = None,
+    tags: PlantTags = PlantTags(),
 ) -> DataFrame:
     """One row per window with what the plant rules need.
 
@@ -270,25 +270,30 @@ def plant_windows(
         F.max(F.when(F.col("tag") == tags.out_valve, F.col("variance"))).alias("out_base"),
         F.max(F.when(F.col("tag") == tags.traffic, F.col("mean"))).alias("traffic_base"),
     )
-    with_limits = readings.join(limits, list(keys), "left")
-    outside = (level < F.col("limit_lo")) | (level > F.col("limit_hi"))
-    rows = with_limits.groupBy(*keys).agg(
-        F.first("limit_lo").alias("limit_lo"),
-        F.first("limit_hi").alias("limit_hi"),
+    # only the level's rows meet the limits; everything else is aggregated where it is
+    outside = (F.col("value") < F.col("limit_lo")) | (F.col("value") > F.col("limit_hi"))
+    levels = (
+        readings.filter(F.col("sensor") == tags.level)
+        .join(limits, list(keys))
+        .groupBy(*keys)
+        .agg(F.avg(F.coalesce(outside, F.lit(False)).cast("double")).alias("share_outside"))
+    )
+    rows = readings.groupBy(*keys).agg(
         F.min(level).alias("level_lo"),
         F.max(level).alias("level_hi"),
-        share(tags.level, outside).alias("share_outside"),
         F.avg(value(tags.out_valve)).alias("out_mean"),
         share(tags.out_valve, F.col("value") > 0.5).alias("out_open"),
         F.avg(value(tags.flow)).alias("flow_mean"),
         share(tags.flow, F.abs(F.col("value")) < FLOW_DEADBAND).alias("flow_still"),
         F.coalesce(F.var_samp(value(tags.in_valve)), F.lit(0.0)).alias("in_var"),
         F.coalesce(F.var_samp(value(tags.out_valve)), F.lit(0.0)).alias("out_var"),
-        F.count(value(tags.in_valve)).alias("in_n"),
-        F.count(value(tags.out_valve)).alias("out_n"),
         F.sum(value(tags.traffic)).alias("traffic"),
     )
-    return rows.join(base, list(base_keys), "left")
+    return (
+        rows.join(limits, list(keys), "left")
+        .join(levels, list(keys), "left")
+        .join(base, list(base_keys), "left")
+    )
 
 
 def plant_constraints() -> list[Constraint]:

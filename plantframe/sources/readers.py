@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..functions.columns import MICROS, first_present, strip_names, to_instant, to_number
+from ..functions.columns import MICROS, first_present, one_value, strip_names, to_instant, to_number
 
 # Columns of a flow table.
 FLOW_TEXT = [
@@ -59,9 +59,9 @@ def read_snapshots(spark: SparkSession, path: str, sensors: Sequence[str], serie
         to_instant("time").alias("ts"), F.lit(series).alias("series"),
         *[to_number(s).alias(s) for s in present],
     ).filter("ts IS NOT NULL")
-    first = parsed.groupBy("series").agg(F.min("ts").alias("_t0"))
-    elapsed = (F.unix_micros("ts") - F.unix_micros("_t0")) / F.lit(float(MICROS))
-    return parsed.join(first, "series").select(
+    first = one_value(parsed.agg(F.min(F.unix_micros("ts")).alias("t0")))
+    elapsed = (F.unix_micros("ts") - first["t0"]) / F.lit(float(MICROS))
+    return parsed.select(
         "ts", F.floor(F.unix_micros("ts") / F.lit(MICROS)).alias("unix_ts"), elapsed.alias("elapsed_s"),
         "series", *[F.col(f"`{s}`") for s in present],
     )
