@@ -366,10 +366,28 @@ def con_per_rule_report(t: Tables):
     return ev.rule_report(stage(windows, "results"), list(IDS), 30 * 86400, 2).drop("series", "buffer_steps")
 
 
-@query("con_evidence")
+def with_evidence(rule: str, evidence: str) -> str:
+    head, tail = rule.split(" FROM ", 1)
+    return f"{head}, {evidence} FROM {tail}"
+
+
+EVIDENCE = " UNION ALL ".join(
+    [
+        with_evidence(GC["GC1"].replace(" AS cid", "").replace(" AS what", ""), "printf('%s: [%.3g, %.3g] u outside spec [%.6g, %.6g] u', tag, lo, hi, min_val, max_val)"),
+        with_evidence(GC["GC2"], "printf('%s step=%.4g vs limit %.4g', s.tag, max_step, 3.0 * coalesce(max_delta_per_step, 1.0))"),
+        with_evidence(GC["GC3"], "printf('%s range=%.3g but %s var=%.3g (warm-up %.3g)', sp, d.hi - d.lo, pv, p.var, coalesce(bp.variance, 1e-6))"),
+        with_evidence(GC["GC4"], "printf('%s change=%.3g but %s var=%.3g', inp, abs(d.lst - d.fst), pv, p.var)"),
+    ]
+)
+
+
+@query(
+    "con_evidence",
+    f"{HEAD}, e(series, bucket, constraint_id, what, evidence) AS ({EVIDENCE}) SELECT series, bucket, constraint_id, evidence FROM e",
+)
 def con_evidence(t: Tables):
     _, found = all_violations(t)
-    return found.select(*KEYS, "constraint_id", "evidence", "spec_figure", "spec_quote")
+    return found.select(*KEYS, "constraint_id", "evidence")
 
 
 # ---- specifications as tables ----------------------------------------------------------------

@@ -157,18 +157,19 @@ def prj_melt(t: Tables):
     return align.melt(t.flows, ["flow_id"], FLOW_FEATURES)
 
 
+# The factor lets a decimal half such as 178.35 round up although its binary form lies a little below.
 @query(
     "prj_serialize_row",
     """WITH long AS (
       SELECT k, name, value, row_number() OVER (PARTITION BY k ORDER BY abs(value) DESC, name) AS rn FROM (
         UNPIVOT (SELECT event_id AS k, value, CAST(user_id AS DOUBLE) AS user_id, value / 3 AS third FROM events)
         ON value, user_id, third INTO NAME name VALUE value))
-    SELECT k AS event_id, string_agg(name || '=' || printf('%.3f', value), ', ' ORDER BY rn) AS text
+    SELECT k AS event_id, string_agg(name || '=' || printf('%.4g', value * (1 + 1e-12)), ', ' ORDER BY rn) AS text
     FROM long WHERE rn <= 2 GROUP BY k""",
 )
 def prj_serialize_row(t: Tables):
     e = t.events.select("event_id", "value", F.col("user_id").cast("double").alias("user_id"), (F.col("value") / 3).alias("third"))
-    return e.select("event_id", C.serialize_top(e, ["value", "user_id", "third"], 2, "%s=%.3f").alias("text"))
+    return e.select("event_id", C.serialize_top(e, ["value", "user_id", "third"], 2).alias("text"))
 
 
 HEX = """lpad(to_hex(event_id % 65536), 4, '0') || '0000' || lpad(to_hex(6 + user_id % 4), 4, '0')

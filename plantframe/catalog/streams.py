@@ -13,9 +13,9 @@ from ..session import scratch_path, stage
 from ..sources.readers import stream_readings
 from ..sources.sinks import write_stream
 from ..streaming import jobs
-from .aggregates import WARM_BUCKETS, warm_by_buckets, warm_readings
+from .aggregates import WARM_BUCKETS, tag_base, warm_readings
 from .base import BUCKETED, READINGS, Tables, query, r
-from .constraints import DETECT
+from .constraints import DETECT, GC, HEAD, cubed, spec_tables
 from .sources import run_stream, stream_of_readings
 
 CLOSED = "(bucket + 21600) * 1000000 <= (SELECT max(t_us) FROM readings) // 1000 * 1000 - 3600000000"
@@ -76,19 +76,21 @@ def str_cross_layer(t: Tables):
 
 @query(
     "str_constraints",
-    f"""WITH {BUCKETED}, {WARM_BUCKETS}, lim(sensor, lo_lim, hi_lim) AS (VALUES ('click', 0.0::DOUBLE, 270.0::DOUBLE), ('error', 0, 200), ('view', 0, 150), ('purchase', 0.1, 220), ('signup', 0, 1000)),
-    st AS (SELECT series, sensor, bucket, count(value) AS n, min(value) AS lo, max(value) AS hi, var_samp(value) AS var FROM bucketed WHERE {CLOSED} GROUP BY 1, 2, 3)
-    SELECT series, sensor, bucket, 'GC1' AS constraint_id FROM st JOIN lim USING (sensor) WHERE lo < lo_lim OR hi > hi_lim
-    UNION ALL SELECT series, sensor, bucket, 'FROZEN' FROM st JOIN wbase USING (series, sensor) WHERE n >= 2 AND var < 0.05 * variance""".replace("n >= 2", "st.n >= 2"),
+    f"""{HEAD}, {WARM_BUCKETS}, q(series, bucket, cid, what) AS ({GC["GC1"]} UNION ALL {GC["GC3"]} UNION ALL {GC["GC4"]}),
+    fz AS (SELECT s.series, s.bucket, 'FROZEN' AS cid, s.tag FROM stats s JOIN wbase b ON b.series = s.series AND b.sensor = s.tag WHERE s.n >= 2 AND var < 0.05 * b.variance)
+    SELECT series, bucket, cid AS constraint_id, count(*) AS n FROM (SELECT * FROM q UNION ALL SELECT * FROM fz) WHERE {CLOSED} GROUP BY 1, 2, 3""",
 )
 def str_constraints(t: Tables):
-    limits = t.spark.createDataFrame(
-        [("click", 0.0, 270.0), ("error", 0.0, 200.0), ("view", 0.0, 150.0), ("purchase", 0.1, 220.0), ("signup", 0.0, 1000.0)],
-        "tag STRING, min_val DOUBLE, max_val DOUBLE",
-    )
-    base = stage(baseline.window_baseline(warm_by_buckets(t)), "baseline")
-    out = run_stream(t, jobs.limit_violations(stream_of_readings(t), limits, base, "6 hours", "1 hour"), "violations")
-    return out.select("series", "sensor", jobs.window_start().alias("bucket"), "constraint_id")
+    tags, loops = spec_tables(t)
+    rows = cubed(stream_of_readings(t))
+    history = cubed(t.bucketed)
+    chosen = baseline.warmup_buckets(history, ["series"], "bucket", 0.15, 5)
+    usual = stage(baseline.window_baseline(history.join(chosen, ["series", "bucket"], "left_semi")), "baseline")
+    by_tag = stage(tag_base(t, cubed(t.readings)), "tag-baseline")
+    limits = run_stream(t, jobs.limit_violations(rows, tags, usual, "6 hours", "1 hour"), "violations")
+    coupled = run_stream(t, jobs.loop_violations(rows, loops, by_tag, "6 hours", "1 hour"), "loops")
+    found = limits.drop("sensor").unionByName(coupled)
+    return found.groupBy("series", jobs.window_start().alias("bucket"), "constraint_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -68,7 +68,23 @@ def match_label(text: Column, classes: Sequence[str]) -> Column:
     return F.coalesce(F.get(hits, F.lit(0)), F.lit("unknown"))
 
 
-def serialize_top(df: DataFrame, cols: Sequence[str], k: int, fmt: str = "%s=%.4g") -> Column:
+def general(x: Column, digits: int) -> Column:
+    """Text with so many significant digits and no trailing zeros, as ``%g`` gives it.
+
+    A half, as the number is written in decimal, rounds away from zero.
+    """
+    x = x.cast("double")
+    sci = F.format_string(f"%.{digits - 1}e", x)
+    power = F.substring_index(sci, "e", -1).cast("int")
+    plain = sci.cast("decimal(38,18)").cast("string")
+    fixed = F.regexp_replace(plain, r"\.?0+$", "")
+    short = F.concat(
+        F.regexp_replace(F.substring_index(sci, "e", 1), r"\.?0+$", ""), F.lit("e"), F.substring_index(sci, "e", -1)
+    )
+    return F.when(x == 0, "0").when((power >= -4) & (power < digits), fixed).otherwise(short)
+
+
+def serialize_top(df: DataFrame, cols: Sequence[str], k: int, digits: int = 4) -> Column:
     """``name=value`` of the k columns with the largest absolute value, largest first, ties by name."""
     items = F.array(
         *[
@@ -81,7 +97,9 @@ def serialize_top(df: DataFrame, cols: Sequence[str], k: int, fmt: str = "%s=%.4
         ]
     )
     top = F.slice(F.array_sort(items), 1, k)
-    return F.array_join(F.transform(top, lambda s: F.format_string(fmt, s["name"], s["value"])), ", ")
+    return F.array_join(
+        F.transform(top, lambda s: F.concat(s["name"], F.lit("="), general(s["value"], digits))), ", "
+    )
 
 
 def serialize_fields(cols: Sequence[str], digits: int = 4) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import general
 from ..functions.ordered import previous_row
 from ..functions.ranks import exact_percentile
 from .baseline import NO_RATE, NO_STD, NO_VARIANCE
@@ -64,6 +65,10 @@ def window_steps(
     )
 
 
+def _g(name: str, digits: int = 3) -> Column:
+    return general(F.col(name), digits)
+
+
 def _violation(
     df: DataFrame, keys: Sequence[str], cid: str, name: Column, severity: str, confidence: float,
     evidence: Column, page: Column, figure: Column, quote: Column,
@@ -99,8 +104,8 @@ def bounds_rule(
         (F.col("lo") < F.col("min_val")) | (F.col("hi") > F.col("max_val"))
     )
     evidence = F.format_string(
-        "%s: [%.3g, %.3g] %s outside spec [%s, %s] %s",
-        "tag", "lo", "hi", "unit", F.col("min_val").cast("string"), F.col("max_val").cast("string"), "unit",
+        "%s: [%s, %s] %s outside spec [%s, %s] %s",
+        "tag", _g("lo"), _g("hi"), "unit", _g("min_val", 6), _g("max_val", 6), "unit",
     )
     return _violation(
         hit, keys, cid, F.lit("saturation-bounds"), DEFINITE, confidence, evidence, *_source()
@@ -122,7 +127,9 @@ def rate_rule(
         .withColumn("_rate", F.coalesce("max_delta_per_step", F.lit(NO_RATE)))
         .filter((F.col("_rate") > 0) & (F.col("max_step") > factor * F.col("_rate")))
     )
-    evidence = F.format_string("%s step=%.4g vs limit %.4g", "tag", "max_step", factor * F.col("_rate"))
+    evidence = F.format_string(
+        "%s step=%s vs limit %s", "tag", _g("max_step", 4), general(factor * F.col("_rate"), 4)
+    )
     return _violation(
         hit, keys, cid, F.col("rule_name"), PROBABLE, confidence, evidence,
         *_source(F.concat(F.col("rule_name"), F.lit(" has a rate limiter"))),
@@ -178,8 +185,8 @@ def tracking_rule(
     moved = moves if moves is not None else F.col("sp_range") >= 2.0 * F.col("sp_std")
     hit = based.filter(moved & (F.col("f_var") < FROZEN * (F.col("_var") + eps)))
     evidence = F.format_string(
-        "%s range=%.3g but %s var=%.3g (warm-up %.3g)",
-        "setpoint_tag", "sp_range", "process_var_tag", "f_var", "_var",
+        "%s range=%s but %s var=%s (warm-up %s)",
+        "setpoint_tag", _g("sp_range"), "process_var_tag", _g("f_var"), _g("_var"),
     )
     return _violation(
         hit, keys, cid, F.concat(F.lit("tracking-invariant-"), "loop_id"), DEFINITE, confidence, evidence,
@@ -202,7 +209,7 @@ def coupling_rule(
         & (F.col("f_var") < FROZEN * (F.col("_var") + eps))
     )
     evidence = F.format_string(
-        "%s change=%.3g but %s var=%.3g", "input_tag", "_delta", "process_var_tag", "f_var"
+        "%s change=%s but %s var=%s", "input_tag", _g("_delta"), "process_var_tag", _g("f_var")
     )
     return _violation(
         hit, keys, cid, F.format_string("cross-layer-%s->%s", "input_tag", "process_var_tag"), DEFINITE,

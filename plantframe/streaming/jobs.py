@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.baseline import NO_STD, NO_VARIANCE
 from ..operators.constraints import FROZEN, Constraint, apply_constraints
 from ..operators.rolling import (
     COLLAPSE, COLLAPSE_SHARE, COOLDOWN_S, CROSS, MIN_STD, MIN_VALUES, MIN_VARIANCE, PROMOTE_OTHERS,
@@ -80,6 +81,51 @@ def limit_violations(
     return apply_constraints(known, ["window", *keys], rules)
 
 
+def loop_violations(
+    readings: DataFrame, loops: DataFrame, baseline: DataFrame, width: str, delay: str, series: str = "series"
+) -> DataFrame:
+    """Tracking and cross-layer rules on closed windows.
+
+    The loops of a specification are few, so their tags become columns of one window row; the baseline
+    (``series, tag, std, variance``) is a static table turned the same way.
+    """
+    pairs = [
+        (kind, row["loop_id"], driver, row["process_var_tag"])
+        for row in loops.collect()
+        for kind, driver in [("GC3", row["setpoint_tag"]), *[("GC4", x) for x in row["cross_layer_inputs"]]]
+        if driver and row["process_var_tag"] and not (kind == "GC3" and driver == row["process_var_tag"])
+    ]
+    tags = sorted({x for _, _, d, p in pairs for x in (d, p)})
+    number = {tag: i for i, tag in enumerate(tags)}
+    order = F.struct("ts", "row_id")
+    aggs, base_aggs = [], []
+    for tag, i in number.items():
+        mine = F.col("sensor") == tag
+        x = F.when(mine, F.col("value"))
+        known = mine & F.col("value").isNotNull()
+        aggs += [
+            F.count(x).alias(f"n{i}"), (F.max(x) - F.min(x)).alias(f"range{i}"), F.var_samp(x).alias(f"var{i}"),
+            F.min_by(x, F.when(known, order)).alias(f"first{i}"), F.max_by(x, F.when(known, order)).alias(f"last{i}"),
+        ]
+        of = F.col("tag") == tag
+        base_aggs += [
+            F.max(F.when(of, F.col("std"))).alias(f"std{i}"), F.max(F.when(of, F.col("variance"))).alias(f"base{i}"),
+        ]
+    windows = readings.withWatermark("ts", delay).groupBy(F.window("ts", width), series).agg(*aggs)
+    known = windows.join(baseline.groupBy(series).agg(*base_aggs), series, "left")
+    rules = []
+    for kind, loop, driver, follower in pairs:
+        d, p = number[driver], number[follower]
+        std, var = F.coalesce(f"std{d}", F.lit(NO_STD)), F.coalesce(f"base{p}", F.lit(NO_VARIANCE))
+        still = (F.col(f"n{d}") >= 2) & (F.col(f"n{p}") >= 2) & (F.col(f"var{p}") < FROZEN * (var + 1e-12))
+        if kind == "GC3":
+            rules.append(Constraint(kind, f"tracking-invariant-{loop}", "definite", 0.9, still & (F.col(f"range{d}") >= 2.0 * std)))
+        else:
+            moved = F.abs(F.col(f"last{d}") - F.col(f"first{d}")) > 3.0 * std + 1e-9
+            rules.append(Constraint(kind, f"cross-layer-{driver}->{follower}", "definite", 0.8, still & moved))
+    return apply_constraints(known, ["window", series], rules)
+
+
 def fuse_layers(
     readings: DataFrame, flows: DataFrame, width: str, delay: str, series: str = "series"
 ) -> DataFrame:

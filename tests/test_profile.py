@@ -124,3 +124,32 @@ def test_recall_is_consistent_with_the_confusion_counts(spark):
     m = {r["class"]: r for r in scoring.class_metrics(df, "y", "p").collect()}
     assert (m["a"].recall, m["a"].precision, m["c"].recall, m["c"].f1) == (0.75, 0.75, 0.0, 0.0)
     assert scoring.overall_metrics(scoring.class_metrics(df, "y", "p")).first()["accuracy"] == pytest.approx(5 / 7)
+
+
+@pytest.mark.parametrize("x", [0.0, 1.5, 123456.0, 0.00012345, 0.0000123, -2.0, 99999.9, 1e20, 3.14159, 100.0])
+def test_general_text(spark, x):
+    from plantframe.functions.columns import general
+
+    assert spark.range(1).select(general(F.lit(x), 4).alias("g")).first()["g"] == f"{x:.4g}"
+
+
+def test_feature_groups_and_labels(spark):
+    from plantframe.functions import columns as C
+
+    cols = ["sBytes", "rBytes", "sttl", "duration"]
+    assert C.feature_groups(cols, {"bytes": {"suffix": ["Bytes"]}, "s": {"prefix": ["s"]}}, "rest") == {
+        "bytes": ["sBytes", "rBytes"], "s": ["sBytes", "sttl"], "rest": ["duration"]
+    }
+    df = spark.createDataFrame([("It is DDoS!",), ("scan",), ("nothing",)], "t string")
+    got = [r[0] for r in df.select(C.match_label(F.col("t"), ["ddos", "ip-scan", "port-scan"])).collect()]
+    assert got == ["ddos", "ip-scan", "unknown"]
+
+
+def test_packet_header(spark):
+    from plantframe.operators import packets
+
+    df = spark.createDataFrame([("0001000000060103006B0003FF",), ("0001",), ("",)], "payload_hex string")
+    r = packets.decode(df).collect()
+    assert (r[0].transaction_id, r[0].protocol_id, r[0].length, r[0].unit_id, r[0].words) == (1, 0, 6, 1, [0x0300, 0x6B00, 0x03FF])
+    assert (r[1].transaction_id, r[1].protocol_id, r[1].words) == (1, None, [])
+    assert r[2].transaction_id is None
