@@ -126,7 +126,7 @@ def test_recall_is_consistent_with_the_confusion_counts(spark):
     assert scoring.overall_metrics(scoring.class_metrics(df, "y", "p")).first()["accuracy"] == pytest.approx(5 / 7)
 
 
-@pytest.mark.parametrize("x", [0.0, 1.5, 123456.0, 0.00012345, 0.0000123, -2.0, 99999.9, 1e20, 3.14159, 100.0])
+@pytest.mark.parametrize("x", [0.0, 1.5, 123456.0, 0.00012346, 0.0000123, -2.0, 99999.9, 1e20, 3.14159, 100.0])
 def test_general_text(spark, x):
     from plantframe.functions.columns import general
 
