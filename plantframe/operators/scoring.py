@@ -30,8 +30,19 @@ def event_scores(
     A flagged run counts if it overlaps [start - buffer, end + buffer] of a true run, a true run if a
     flagged one overlaps [start - buffer, end]. Steps are positions, not time.
     """
-    actual = stage(segments(labelled, keys, t, tie, truth, slice_s), "true-runs")
-    found = stage(segments(labelled, keys, t, tie, flagged, slice_s), "flagged-runs")
+    # both kinds of runs come from one pass with the kind as a further key
+    kinds = F.explode(
+        F.array(
+            F.struct(F.lit("true").alias("kind"), F.col(truth).cast("int").alias("on")),
+            F.struct(F.lit("flagged").alias("kind"), F.col(flagged).cast("int").alias("on")),
+        )
+    )
+    rows = labelled.select(*keys, t, tie, kinds.alias("_f")).select(
+        *keys, t, tie, F.col("_f.kind").alias("_kind"), F.col("_f.on").alias("_flag")
+    )
+    runs = stage(segments(rows, [*keys, "_kind"], t, tie, "_flag", slice_s), "runs")
+    actual = runs.filter(F.col("_kind") == "true").drop("_kind")
+    found = runs.filter(F.col("_kind") == "flagged").drop("_kind")
     hit = overlapping(actual, found, keys, buffer_steps, 0)
     # a flagged run overlaps the widened true run exactly if the true run overlaps it widened alike
     valid = overlapping(found, actual, keys, buffer_steps, buffer_steps)
