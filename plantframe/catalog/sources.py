@@ -12,7 +12,7 @@ from .base import FLOWS, READINGS, WINDOWS, Tables, query, r
 
 
 def _text_time(us: str):
-    return F.date_format(F.timestamp_micros(F.col(us)), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.expr(f"string(timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ '1970-01-01 00:00:00'))")
 
 
 @query(

@@ -45,8 +45,16 @@ def to_number(name: str) -> Column:
 
 
 def to_instant(name: str) -> Column:
-    """Timestamps that do not parse become null."""
-    return F.expr(f"try_to_timestamp(trim(string(`{name}`)))")
+    """Timestamp text; what does not parse becomes null. Text without a zone is UTC, whatever the session's."""
+    text = F.trim(F.col(f"`{name}`").cast("string"))
+    naive = F.timestamp_micros(
+        F.expr(
+            f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
+            f"try_cast(trim(string(`{name}`)) AS timestamp_ntz))"
+        )
+    )
+    has_zone = F.rlike(text, F.lit(r"(Z|UTC|[+-]\d{2}:?\d{2})$"))
+    return F.when(has_zone, F.try_to_timestamp(text)).otherwise(naive)
 
 
 def clip_log1p(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from ..functions.columns import MICROS, first_present, one_value, strip_names, to_instant, to_number
+from ..functions.columns import MICROS, epoch_us, first_present, one_value, strip_names, to_instant, to_number
 
 # Columns of a flow table.
 FLOW_TEXT = [
@@ -88,7 +88,12 @@ def resolve_columns(
     t, y = first_present(df, times), first_present(df, labels)
     if t is None and row_number is None:
         raise ValueError(f"no column of {list(times)}, and no row number to stand in")
-    when = to_instant(t) if t else F.timestamp_seconds(F.col(row_number).cast("long"))
+    if t is None:
+        when = F.timestamp_seconds(F.col(row_number).cast("long"))
+    elif isinstance(df.schema[t].dataType, (T.TimestampType, T.TimestampNTZType)):
+        when = F.timestamp_micros(epoch_us(df, t))
+    else:
+        when = to_instant(t)
     truth = F.coalesce(F.expr(f"try_cast(`{y}` AS int)"), F.lit(0)) if y else F.lit(0)
     rest = [c for c in df.columns if c not in (t, y)]
     return df.select(when.alias("ts"), truth.alias("attack"), *[F.col(f"`{c}`") for c in rest])

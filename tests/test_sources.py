@@ -107,3 +107,11 @@ def test_detect_and_score(spark):
     assert got == {"replay": (1, 1), "ddos": (1, 0), "ALL": (2, 1)}
     assert {r.alert_type for r in alerts.filter("t_us between 460000000 and 499000000").collect()} == {"cross_layer"}
     assert scores.filter("attack = 'replay'").first().alert_types == "cross_layer"
+
+
+def test_time_text(spark):
+    from plantframe.functions.columns import to_instant
+
+    df = spark.createDataFrame([("2022-09-16 12:00:00.25",), ("2022-09-16T14:00:00+02:00",), ("2022-09-16T12:00:00Z",), ("soon",), (None,)], "t string")
+    got = [r[0] for r in df.select(F.unix_micros(to_instant("t"))).collect()]
+    assert got == [1663329600250000, 1663329600000000, 1663329600000000, None, None]
