@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import bpe, idfiles, quality, simhash
+
+#: The public vocabulary that the queries encode with.
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +35,22 @@ def op1_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_bpe")
+def op2_bpe(spark, folder):
+    path = tokenizer_path()
+    ids = table(spark, folder, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
 @query(
     "op4_quality",
     r"""
@@ -63,3 +82,9 @@ def op4_quality(spark, folder):
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         quality.fails(quality.POLICIES["base"]).alias("base_failed"), (~quality.fails(quality.POLICIES["v1"])).alias("kept"),
     )
+
+
+@query("op10_idfiles")
+def op10_idfiles(spark, folder):
+    manifest = idfiles.write_ids(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
+    return idfiles.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
