@@ -108,6 +108,8 @@ class Vocabulary:
     def merged_all(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact BPE of many words at once, one merge of every word in each round: ids, and numbers of their words."""
         n = end - begin
+        if not n.sum():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(n)), n)
         ids = self.byte[data[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
         never = self.width + 1
@@ -143,25 +145,20 @@ class Vocabulary:
     def words(self, distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words one after the other, and where each word's begin (and all end)."""
         data, offsets = text_bytes(distinct.view(pa.string()))
-        n = len(distinct)
-        ids, of = self.trie.longest(data, offsets[:-1], offsets[1:])
+        n, size = len(distinct), np.diff(offsets)
+        short, long = np.flatnonzero(size <= LONG_WORD), np.flatnonzero(size > LONG_WORD)
+        ids, of = self.trie.longest(data, offsets[short], offsets[short + 1])
         border = np.flatnonzero(of[1:] == of[:-1])
         pair, where = np.unique(ids[border] * self.width + ids[border + 1], return_inverse=True)
         bad = ~self.fits(pair // self.width, pair % self.width)[where]
-        failed = np.unique(of[border[bad]])
-        lengths = np.bincount(of, minlength=n)
-        if len(failed):
-            fails = np.zeros(n, bool)
-            fails[failed] = True
-            long = failed[offsets[failed + 1] - offsets[failed] > LONG_WORD]
-            short = failed[offsets[failed + 1] - offsets[failed] <= LONG_WORD]
-            exact = [np.array(self.merged(data[offsets[i] : offsets[i + 1]].tobytes()), np.int64) for i in long]
-            others, others_of = self.merged_all(data, offsets[short], offsets[short + 1]) if len(short) else (short, short)
-            good = ~fails[of]
-            ids = np.concatenate([ids[good], others, *exact])
-            of = np.concatenate([of[good], short[others_of], np.repeat(long, [len(x) for x in exact])])
-            lengths = np.bincount(of, minlength=n)
-            ids = ids[np.argsort(of, kind="stable")]
+        fails = np.zeros(len(short), bool)
+        fails[of[border[bad]]] = True
+        failed, good = short[fails], ~fails[of]
+        exact, exact_of = self.merged_all(data, offsets[failed], offsets[failed + 1])
+        single = [np.array(self.merged(data[offsets[i] : offsets[i + 1]].tobytes()), np.int64) for i in long]
+        ids = np.concatenate([ids[good], exact, *single])
+        of = np.concatenate([short[of[good]], failed[exact_of], np.repeat(long, [len(x) for x in single])])
+        lengths, ids = np.bincount(of, minlength=n), ids[np.argsort(of, kind="stable")]
         return ids, np.append(0, np.cumsum(lengths))
 
 

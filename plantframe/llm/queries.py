@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idfiles, quality, simhash
+from . import bpe, idfiles, mixing, quality, simhash, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -88,3 +88,38 @@ def op4_quality(spark, folder):
 def op10_idfiles(spark, folder):
     manifest = idfiles.write_ids(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
     return idfiles.read_ids(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, folder):
+    counts = wordpiece.token_counts(F.col("text"), tokenizer_path())
+    return table(spark, folder, "documents").select("doc_id", counts.alias("c")).select("doc_id", "c.n_words", "c.n_tokens")
+
+
+#: Target weights of the sources in the mixed corpus; every other source together has weight 1.
+WEIGHTS = {"src0": 4.0, **{f"src{i}": 1.0 for i in range(1, 16)}}
+
+
+@query(
+    "op7_mixing",
+    """
+    WITH d AS (SELECT doc_id, source, CASE WHEN source IN ({names}) THEN source ELSE '*' END AS bucket, coalesce(length(text), 0) AS size FROM documents),
+    s AS (SELECT bucket, CAST(sum(size) AS DOUBLE) AS size FROM d GROUP BY bucket),
+    w AS (SELECT *, CASE {cases} ELSE 1.0::DOUBLE END AS weight FROM s),
+    r AS (SELECT bucket, CASE WHEN size > 0 THEN weight / sum(weight) OVER () * sum(size) OVER () / size ELSE 0 END AS rate FROM w),
+    k AS (SELECT bucket, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM r),
+    f AS (SELECT *, sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY bucket ORDER BY k) AS lf FROM k),
+    p AS (SELECT bucket, k, CASE WHEN rate > 0 THEN exp(k * ln(rate) - rate - lf) WHEN k = 0 THEN 1 ELSE 0 END AS p FROM f),
+    c AS (SELECT bucket, sum(p) OVER (PARTITION BY bucket ORDER BY k) AS cdf FROM p),
+    a AS (SELECT bucket, list(cdf) AS cdfs FROM c GROUP BY bucket),
+    u AS (SELECT d.*, (('0x' || substr(md5('draw:0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS u FROM d),
+    n AS (SELECT doc_id, source, size, len(list_filter(cdfs, lambda x: x < u)) AS n FROM u JOIN a USING (bucket)),
+    e AS (SELECT doc_id, source, size, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM n)
+    SELECT doc_id, source, CAST(size AS BIGINT) AS n_chars, copy, md5('order:0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy) AS mix_key FROM e
+    """.format(
+        names=", ".join(f"'{s}'" for s in WEIGHTS), cases=" ".join(f"WHEN bucket = '{s}' THEN {w}::DOUBLE" for s, w in WEIGHTS.items())
+    ),
+)
+def op7_mixing(spark, folder):
+    mixed = mixing.mix(table(spark, folder, "documents"), WEIGHTS)
+    return mixed.select("row.doc_id", "row.source", F.coalesce(F.length("row.text"), F.lit(0)).cast("long").alias("n_chars"), "copy", "mix_key")
