@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, idfiles, mixing, quality, simhash, wordpiece
+from . import bpe, htmltext, idfiles, mixing, quality, simhash, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -123,3 +123,9 @@ WEIGHTS = {"src0": 4.0, **{f"src{i}": 1.0 for i in range(1, 16)}}
 def op7_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), WEIGHTS)
     return mixed.select("row.doc_id", "row.source", F.coalesce(F.length("row.text"), F.lit(0)).cast("long").alias("n_chars"), "copy", "mix_key")
+
+
+@query("op5_html")
+def op5_html(spark, folder):
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("row.page_id", "row.url", "text", "n_chars")
