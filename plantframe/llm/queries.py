@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, idfiles, mixing, quality, simhash, wordpiece
+from . import bpe, htmltext, idfiles, mixing, neighbours, quality, simhash, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -129,3 +129,9 @@ def op7_mixing(spark, folder):
 def op5_html(spark, folder):
     pages = table(spark, folder, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages).select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query("op9_neighbours")
+def op9_neighbours(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
