@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by cosine: multiprobe p-stable hashing with exact reranking.
 
-Each table hashes unit vectors by several Gaussian projections, cut into slots. Around a query's projections, those of
-a vector at a given distance are normally distributed, which gives every bucket its chance to hold it. The buckets of a
+Each table hashes unit vectors by several Gaussian projections, cut into slots. If a query's projection is x, that of
+a unit vector at cosine c is normal with mean c x and variance 1 - c^2, which gives every bucket its chance to hold it. The buckets of a
 table are visited in the order of that chance until the visited ones together reach a target. All vectors met in any
 table are compared exactly.
 """
@@ -21,15 +21,15 @@ from plantframe.session import stage
 
 @dataclass(frozen=True)
 class Hashing:
-    """Settings of the index. Vectors within ``radius`` (between unit vectors) are met with a probability of
-    ``1 - (1 - success) ** tables`` at least."""
+    """Settings of the index. Vectors at ``cosine`` or more are met with a probability of about
+    ``1 - (1 - success) ** tables`` or more."""
 
     tables: int = 6
     functions: int = 6
     slots: int = 5
     width: float = 1.2
-    radius: float = 1.15
-    success: float = 0.42
+    cosine: float = 0.3
+    success: float = 0.45
     seed: int = 7
     #: Vectors and queries that a task compares at once.
     block_vectors: int = 4096
@@ -55,9 +55,11 @@ class Hashing:
         edges = np.concatenate([[-np.inf], np.arange(1, self.slots), [np.inf]])
         normal = np.vectorize(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
         out = []
-        for table in self.projected(unit):
+        offsets = self.projections(unit.shape[1])[1] / self.width
+        for table, offset in zip(self.projected(unit), offsets):
             of_table = []
-            below = normal((edges - table[:, :, None]) * self.width / self.radius)
+            middle = (table - offset - self.slots // 2) * self.cosine + offset + self.slots // 2
+            below = normal((edges - middle[:, :, None]) * self.width / math.sqrt(1 - self.cosine**2))
             chance = np.diff(below, axis=2)
             for one in chance:
                 whole = np.ones(1)
