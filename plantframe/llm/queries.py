@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, idfiles, mixing, neighbours, quality, simhash, wordpiece
+from . import bpe, htmltext, idfiles, mixing, neighbours, pii, quality, simhash, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -135,3 +135,13 @@ def op5_html(spark, folder):
 def op9_neighbours(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op6_personal_data")
+def op6_personal_data(spark, folder):
+    spans = pii.find(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    base = list(pii.KINDS)
+    return spans.select(
+        "row.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed([*base, pii.FOUND]).alias("spans"),
+    )
