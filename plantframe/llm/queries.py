@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, idfiles, mixing, neighbours, pii, quality, simhash, wordpiece
+from . import bpe, htmltext, idfiles, lm, mixing, neighbours, pii, quality, simhash, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -145,3 +145,12 @@ def op6_personal_data(spark, folder):
         "row.doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed([*base, pii.FOUND]).alias("spans"),
     )
+
+
+@query("op8_lm_scores")
+def op8_lm_scores(spark, folder):
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    docs = table(spark, folder, "documents").select("doc_id", "text", (F.crc32(name.cast("binary")) % 10 == 0).alias("held_out"))
+    model = lm.fit(docs.filter("NOT held_out"))
+    scores = docs.select("doc_id", "held_out", lm.score(F.col("text"), model).alias("s"))
+    return scores.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
