@@ -40,6 +40,13 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
+def slices(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Parts of a string array that hold at most ``limit`` bytes of text each, or a single text; one part at least."""
+    _, offsets = text_bytes(texts)
+    for low, high in pieces(offsets, limit) if len(texts) else [(0, 0)]:
+        yield texts.slice(low, high - low)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a range of rows, optionally with A-Z in lower case."""
 
