@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .pretokens import pretokens
 from .tries import Lookup, Trie
-from .words import pieces, text_bytes
+from .words import pieces, slices, text_bytes
 
+#: Bytes of text that are encoded at once.
+PART_BYTES = 8 << 20
 #: Ids that are put together as bytes at once when decoding.
 DECODE_IDS = 1 << 20
 #: Words of more bytes are merged one by one, each in time n log n.
@@ -229,9 +231,11 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
-        words = vocabulary(path)
-        ids, at = encode_texts(texts, words.words, words.special)
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+        words, parts = vocabulary(path), []
+        for part in slices(texts, PART_BYTES):
+            ids, at = encode_texts(part, words.words, words.special)
+            parts.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+        return pa.concat_arrays(parts)
 
     return of(text)
 
