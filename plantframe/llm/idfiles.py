@@ -23,6 +23,8 @@ from .bpe import encode_texts
 
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 16
+#: Distinct words that the library encodes in one call.
+WORDS_AT_ONCE = 1 << 15
 MANIFEST = "shard int, file string, n_docs long, n_ids long"
 
 
@@ -149,9 +151,13 @@ def library_words(path: str):
     """Ids of distinct pre-tokens by the tokenizers library: each is a text of its own that is not split further."""
 
     def of(distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        found = _library(path).encode_batch_fast(distinct.view(pa.string()).to_pylist(), add_special_tokens=False)
-        ids = [e.ids for e in found]
-        return np.array([i for x in ids for i in x], np.int64), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+        ids, lengths = [], []
+        for low in range(0, len(distinct), WORDS_AT_ONCE):
+            words = distinct.slice(low, WORDS_AT_ONCE).view(pa.string()).to_pylist()
+            found = [e.ids for e in _library(path).encode_batch_fast(words, add_special_tokens=False)]
+            ids.append(np.fromiter((i for x in found for i in x), np.int64))
+            lengths += map(len, found)
+        return np.concatenate([*ids, np.zeros(0, np.int64)]), np.append(0, np.cumsum(lengths)).astype(np.int64)
 
     return of
 
