@@ -341,11 +341,9 @@ def test_scores(docs, no_docs):
     assert asked.select(lm.score(F.col("text"), empty).alias("s")).filter("s.score > 0.001 OR isnan(s.score)").count() == 0
 
 
-def test_hot_contexts_and_small_files(docs, monkeypatch):
+def test_hot_contexts_and_small_files(docs):
     expected = docs.select(lm.score(F.col("text"), lm.fit(docs)).alias("s")).select("s.score").collect()
-    for name, value in (("HOT", 3), ("WORDS_PER_FILE", 8), ("TOKENS_PER_FILE", 64)):
-        monkeypatch.setattr(lm, name, value)
-    model = lm.fit(docs)
+    model = lm.fit(docs, hot=3, words_per_file=8, tokens_per_file=64)
     texts = pa.array([r.text for r in docs.select("text").collect()])
     assert len(model.words) > 1 and len(model.pairs) > 1
     assert sorted(r.score for r in expected) == pytest.approx(sorted(model.scores(texts)[3].tolist()))
