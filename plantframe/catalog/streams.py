@@ -52,9 +52,13 @@ def detector_alerts(t: Tables):
     return run_stream(t, alerts, "alerts")
 
 
+PASSED = "t_us <= (SELECT max(t_us) FROM readings WHERE value IS NOT NULL) // 1000 * 1000 - 3600000000"
+
+
 @query(
     "str_spike_collapse",
-    f"{DETECT} SELECT row_id, series, sensor, CASE WHEN alert_type = 'cross_layer' THEN 'variance_collapse' ELSE alert_type END AS alert_type FROM al",
+    f"""{DETECT} SELECT row_id, series, sensor, CASE WHEN alert_type = 'cross_layer' THEN 'variance_collapse' ELSE alert_type END AS alert_type
+    FROM al WHERE {PASSED}""",
 )
 def str_spike_collapse(t: Tables):
     return detector_alerts(t).select("row_id", "series", "sensor", "alert_type")
@@ -63,7 +67,7 @@ def str_spike_collapse(t: Tables):
 @query(
     "str_cross_layer",
     f"""{DETECT} SELECT row_id, series, sensor, alert_type FROM al WHERE alert_type <> 'z_score_spike'
-    AND t_us + 21600000000 < ((SELECT max(t_us) FROM al WHERE alert_type <> 'z_score_spike') // 1000 - 3600000) * 1000""",
+    AND t_us + 21600000000 < ((SELECT max(t_us) FROM al WHERE alert_type <> 'z_score_spike' AND {PASSED}) // 1000 - 3600000) * 1000""",
 )
 def str_cross_layer(t: Tables):
     kept = detector_alerts(t)

@@ -191,3 +191,22 @@ def feature_groups(
 def one_value(one_row: DataFrame, *cols: str) -> Column:
     """The single row of an ungrouped aggregate as a scalar subquery: a struct of its columns."""
     return one_row.select(F.struct(*(cols or one_row.columns)).alias("v")).scalar()
+
+
+#: Rows up to which a table may be sent to every task.
+FEW_ROWS = 100_000
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of the left side stay."""
+    own = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    same = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys]
+    return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
+
+
+def few(df: DataFrame, label: str) -> DataFrame:
+    """A table that is written once and sent to every task if it has few rows; otherwise it is joined as any other."""
+    from ..session import stage
+
+    written = stage(df, label)
+    return F.broadcast(written) if written.limit(FEW_ROWS + 1).count() <= FEW_ROWS else written

@@ -20,35 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import MICROS, floor_to
+from .columns import MICROS, few, floor_to, join_keys
 
 SLICE = "_slice"
+#: Default length of a cooldown slice, in gaps.
+SLICE_GAPS = 64
 
 
 def with_slice(df: DataFrame, t: str, slice_s: float) -> DataFrame:
     return df.withColumn(SLICE, floor_to(F.col(t), int(slice_s * MICROS)))
 
 
-def fitting_slice(
-    df: DataFrame, keys: Sequence[str], t: str, least_s: float, most_rows: int = 500_000
-) -> float:
-    """The longest slice, in fourfold steps from ``least_s``, whose busiest piece stays within ``most_rows``.
-
-    Rows are counted per key and shortest slice first; the driver sees one number per step.
-    """
-    base = int(least_s * MICROS)
-    widths = [base << (2 * i) for i in range(13)]
-    fine = df.groupBy(*keys, floor_to(F.col(t), base).alias("_f")).agg(F.count(F.lit(1)).alias("_c"))
-    coarse = fine.select(
-        *keys, "_c", F.explode(F.array(*[F.struct(F.lit(w).alias("w"), floor_to(F.col("_f"), w).alias("s")) for w in widths])).alias("g")
-    )
-    busiest = (
-        coarse.groupBy(*keys, "g").agg(F.sum("_c").alias("_n")).groupBy("g.w").agg(F.max("_n").alias("_n"))
-    )
-    fits = [row["w"] for row in busiest.collect() if row["_n"] <= most_rows]
-    return max(fits, default=base) / MICROS
-
-
 def range_frame(
     df: DataFrame,
     keys: Sequence[str],
@@ -108,7 +90,7 @@ def previous_row(
         lambda s, line: F.lag(s).over(line),
         "_edge",
     )
-    joined = inside.join(carry, [*keys, SLICE], "left").withColumn(
+    joined = join_keys(inside, carry, [*keys, SLICE], "left").withColumn(
         "_prev", F.coalesce("_prev", "_edge")
     )
     return joined.select(
@@ -133,7 +115,7 @@ def row_ordinal(
     inside = sliced.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(t, tie))
     )
-    return inside.join(carry, [*keys, SLICE]).select(
+    return join_keys(inside, carry, [*keys, SLICE]).select(
         *df.columns, (F.col("_before") + F.col("_rn") - 1).cast("long").alias(name)
     )
 
@@ -155,7 +137,7 @@ def carry_forward(
     )
     run = Window.partitionBy(*keys, SLICE).orderBy(t, tie).rowsBetween(Window.unboundedPreceding, 0)
     inside = sliced.withColumn("_in", F.last(value, ignorenulls=True).over(run))
-    return inside.join(carry, [*keys, SLICE], "left").select(
+    return join_keys(inside, carry, [*keys, SLICE], "left").select(
         *df.columns, F.coalesce("_in", "_edge").alias(name)
     )
 
@@ -187,13 +169,13 @@ def first_rows(
         .filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_upto")))
     )
     cut = (
-        sliced.join(holding, [*keys, SLICE])
+        join_keys(sliced, few(holding, "holding"), [*keys, SLICE])
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(t, tie)))
         .filter(F.col("_before") + F.col("_rn") == F.col("_k"))
         .select(*keys, F.col(t).alias("_cut_t"), F.col(tie).alias("_cut_tie"))
     )
     upto = (F.col(t) < F.col("_cut_t")) | ((F.col(t) == F.col("_cut_t")) & (F.col(tie) <= F.col("_cut_tie")))
-    return df.join(cut, list(keys)).filter(upto).select(*df.columns)
+    return join_keys(df, few(cut, "cut"), keys).filter(upto).select(*df.columns)
 
 
 def segments(
@@ -260,11 +242,11 @@ def cooldown(
     The rule is greedy, so it is a chain through the whole history. A slice depends on the past only
     through the last kept instant, and that matters only while its silence reaches into the slice.
     So: per slice, the outcome for each possible first kept row; then one pass over these summaries
-    per key; then the rows of each slice with the known entry state. Without a given length, slices are
-    as long as a task can hold.
+    per key; then the rows of each slice with the known entry state. A slice is 64 gaps long unless its
+    length is given; one task orders the rows of a slice, and its summary holds those of its first gap.
     """
     gap = max(int(gap_s * MICROS), 1)
-    slice_s = max(slice_s or fitting_slice(df, keys, t, max(gap_s, 1.0)), gap_s)
+    slice_s = max(slice_s or SLICE_GAPS * gap_s, gap_s)
     # of rows at the same instant only the first can be kept
     single = (
         df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, t).orderBy(tie)))
@@ -320,7 +302,7 @@ def cooldown(
         return pdf.iloc[kept][columns]
 
     return (
-        sliced.join(entries, [*keys, SLICE])
+        join_keys(sliced, entries, [*keys, SLICE])
         .groupBy(*keys, SLICE)
         .applyInPandas(keep, single.schema)
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .columns import few, join_keys
+
 ACCURACY = 10_000
 
 
@@ -20,23 +22,19 @@ def exact_percentile(
     then counted one by one, everything below it as a single number.
     """
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    slack = 3.0 / ACCURACY
-    bracket = data.groupBy(*keys).agg(
-        F.percentile_approx(
-            "_x", [max(0.0, q - slack), min(1.0, q + slack)], ACCURACY
-        ).alias("_b"),
-        F.min("_x").alias("_min"),
-        F.max("_x").alias("_max"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    # a small group is its own bracket; in a large one the slack is several ranks wide
-    small = F.col("_n") <= ACCURACY
-    low = bracket.select(
-        *keys, "_n",
-        F.when(small, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-        F.when(small, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
+    # half widths of the bracket; it must hold the sketch's error and two ranks more on either side
+    widths = [3.0 / ACCURACY, 0.001, 0.01, 0.1]
+    sketch = data.groupBy(*keys).agg(
+        F.percentile_approx("_x", [min(1.0, max(0.0, q + s * w)) for w in widths for s in (-1, 1)], ACCURACY).alias("_b"),
+        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_n"),
     )
-    marked = data.join(low, list(keys))
+    needed = 1.0 / ACCURACY + 2.0 / F.col("_n")
+    low, high = F.col("_min"), F.col("_max")
+    for i, w in reversed(list(enumerate(widths))):
+        low = F.when((needed <= w) & F.lit(q - w > 0), F.col("_b")[2 * i]).otherwise(low)
+        high = F.when((needed <= w) & F.lit(q + w < 1), F.col("_b")[2 * i + 1]).otherwise(high)
+    bracket = sketch.select(*keys, "_n", low.alias("_lo"), high.alias("_hi"))
+    marked = join_keys(data, few(bracket, "bracket"), keys)
     counted = (
         marked.withColumn("_below", F.col("_x") < F.col("_lo"))
         .filter(F.col("_x") <= F.col("_hi"))
@@ -90,13 +88,13 @@ def split_by_rank(
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_h")
     cut = (
-        hashed.join(holding, [*keys, "_bin"])
+        join_keys(hashed, few(holding, "holding"), [*keys, "_bin"])
         .withColumn("_rn", F.row_number().over(inside))
         .filter(F.col("_before") + F.col("_rn") == F.col("_k"))
         .select(*keys, F.col("_h").alias("_cut"))
     )
     marked = F.coalesce(order_hex <= F.col("_cut"), F.lit(False))
-    return df.join(cut, list(keys), "left").select(*[F.col(c) for c in df.columns], marked.alias(name))
+    return join_keys(df, few(cut, "cut"), keys, "left").select(*[F.col(c) for c in df.columns], marked.alias(name))
 
 
 def _cut_points(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:

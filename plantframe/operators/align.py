@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS, one_value
+from ..functions.columns import MICROS, few, join_keys, one_value
 from ..functions.ranks import exact_percentile, weighted_percentile
 from ..session import stage
 
@@ -25,7 +25,7 @@ def with_elapsed(df: DataFrame, series: Sequence[str], t_us: str, name: str = "e
     """
     first = df.groupBy(*series).agg(F.min(t_us).alias("_t0"))
     if series:
-        based = df.join(first, list(series))
+        based = join_keys(df, few(first, "first"), series)
     else:
         based = df.withColumn("_t0", one_value(first)["_t0"])
     return based.select(*df.columns, ((F.col(t_us) - F.col("_t0")) / F.lit(float(MICROS))).alias(name))

@@ -215,15 +215,16 @@ def _chi2_tail(x: float, dof: int) -> float | None:
     if dof < 1 or x is None or math.isnan(x):
         return None
     half = x / 2.0
+    if half <= 0:
+        return 1.0
+    # each term in logs: exp(-x / 2) alone is zero for large x
     if dof % 2 == 0:
-        tail, term, steps = math.exp(-half), math.exp(-half), [i for i in range(1, dof // 2)]
+        tail, start = 0.0, 0.0
     else:
-        tail = math.erfc(math.sqrt(half))
-        term = math.exp(-half) / math.sqrt(math.pi * half) if half > 0 else 0.0
-        steps = [i + 0.5 for i in range(0, dof // 2)]
-    for s in steps:
-        term *= half / s
-        tail += term
+        tail, start = math.erfc(math.sqrt(half)), 0.5
+    for i in range(dof // 2):
+        power = i + start
+        tail += math.exp(power * math.log(half) - half - math.lgamma(power + 1))
     return min(1.0, tail)
 
 

@@ -122,11 +122,11 @@ PROCESS_TAGS = [
     ("P1_B3004", 0.0, 720.0, "mm", 12, "boiler level demand"),
     ("P1_LIT01", 0.0, 720.0, "mm", 13, "boiler level"),
     ("P1_LCV01D", 0.0, 100.0, "%", 13, "level valve position"),
-    ("P1_B3005", 0.0, 10.0, "m3/h", 12, "flow demand"),
+    ("P1_B3005", 0.0, 10.0, "m³/h", 12, "flow demand"),
     ("P1_FCV03D", 0.0, 100.0, "%", 13, "flow valve position"),
-    ("P1_FIT01", 0.0, 10.0, "m3/h", 13, "flow"),
-    ("P1_B3003", 0.0, 500.0, "C", 12, "temperature demand"),
-    ("P1_TIT01", 0.0, 500.0, "C", 13, "temperature"),
+    ("P1_FIT01", 0.0, 10.0, "m³/h", 13, "flow"),
+    ("P1_B3003", 0.0, 500.0, "°C", 12, "temperature demand"),
+    ("P1_TIT01", 0.0, 500.0, "°C", 13, "temperature"),
     ("P2_AutoSD", 0.0, 3200.0, "RPM", 13, "turbine speed demand"),
     ("P2_SIT01", 0.0, 3200.0, "RPM", 14, "turbine speed"),
     ("P2_RTR", 0.0, 2880.0, "RPM", 14, "trip speed"),
@@ -179,7 +179,7 @@ def water_spec(spark, spec_name: str = "water-plant") -> tuple[DataFrame, DataFr
     """Tag and loop tables of the water plant."""
     tags = [
         (spec_name, "tank_level_value(2)", 0.0, 1.0, "m", "water level in tank", "register layout", 1, "", "", "manual", 1.0),
-        (spec_name, "tank_output_flow_value(7)", 0.0, 0.0001, "m3/s", "output flow", "instrument data", 1, "", "", "manual", 1.0),
+        (spec_name, "tank_output_flow_value(7)", 0.0, 0.0001, "m³/s", "output flow", "instrument data", 1, "", "", "manual", 1.0),
     ]
     # The loop names the column the flow counts are joined in as, so that the generic rule can fire.
     loops = [

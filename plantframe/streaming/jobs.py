@@ -161,7 +161,10 @@ ALERT_SCHEMA = (
     "z_score DOUBLE, rolling_var DOUBLE, baseline_var DOUBLE, confidence STRING"
 )
 ALERT_NAMES = [part.split()[0] for part in ALERT_SCHEMA.split(", ")]
-DETECTOR_STATE = "t ARRAY<LONG>, v ARRAY<DOUBLE>, last_spike LONG, last_collapse LONG, upto LONG"
+DETECTOR_STATE = (
+    "t ARRAY<LONG>, v ARRAY<DOUBLE>, last_spike LONG, last_collapse LONG, "
+    "waiting_t ARRAY<LONG>, waiting_v ARRAY<DOUBLE>, waiting_row ARRAY<LONG>, mean DOUBLE, std DOUBLE, variance DOUBLE"
+)
 LONG_AGO = -(1 << 62)
 
 
@@ -171,8 +174,9 @@ def detector(
 ) -> DataFrame:
     """Spike and collapse alerts with the trailing window and the last alerts as state.
 
-    Each batch is put in time order per sensor; a row older than the last one handled is late and left
-    out. The state is the values of one window. Needs ``t_us``.
+    Rows wait until the watermark has passed them and are then handled in time order, so the alerts don't depend on
+    how rows fall into batches. Spark drops and counts rows that come behind the watermark (``dropped_rows``). The
+    state of a sensor is the values of one window and of the delay. Needs ``t_us``.
     """
     width, gap = int(window_s * 1e6), int(cooldown_s * 1e6)
     base = baseline.select("series", "sensor", "mean", "std", "variance").filter(F.col("std") >= MIN_STD)
@@ -183,13 +187,21 @@ def detector(
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old_t, old_v, last_spike, last_collapse, upto = state.get if state.exists else ([], [], LONG_AGO, LONG_AGO, LONG_AGO)
-        rows = pd.concat(list(batches)).sort_values(["t_us", "row_id"])
-        rows = rows[rows["t_us"] > upto]
+        if state.exists:
+            old_t, old_v, last_spike, last_collapse, *waiting, mean, std, variance = state.get
+        else:
+            old_t, old_v, last_spike, last_collapse, waiting = [], [], LONG_AGO, LONG_AGO, ([], [], [])
+        parts = [pd.DataFrame(dict(zip(("t_us", "value", "row_id"), waiting))).astype({"t_us": "int64", "value": float, "row_id": "int64"})]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                parts.append(pdf[["t_us", "value", "row_id"]])
+                mean, std, variance = (float(pdf[c].iloc[0]) for c in ("mean", "std", "variance"))
+        rows = pd.concat([x for x in parts if len(x)] or parts[:1]).sort_values(["t_us", "row_id"])
+        open_ = rows["t_us"].to_numpy(np.int64) > state.getCurrentWatermarkMs() * 1000
+        later, rows = rows[open_], rows[~open_]
         t = np.concatenate([np.array(old_t, np.int64), rows["t_us"].to_numpy(np.int64)])
         v = np.concatenate([np.array(old_v, float), rows["value"].to_numpy(float)])
         if len(rows):
-            mean, std, variance = (float(rows[c].iloc[0]) for c in ("mean", "std", "variance"))
             here = np.arange(len(old_t), len(t))
             # rows at one instant see the same window, as a RANGE frame does
             low, high = np.searchsorted(t, t[here] - width), np.searchsorted(t, t[here], "right")
@@ -215,7 +227,7 @@ def detector(
                 return chosen, last
 
             out = []
-            ts, ids = rows["ts"].to_numpy(), rows["row_id"].to_numpy()
+            ts, ids = pd.to_datetime(rows["t_us"].to_numpy(), unit="us").to_numpy(), rows["row_id"].to_numpy()
             chosen, last_spike = kept(spikes, last_spike)
             for i in chosen:
                 var = float(np.var(v[low[i] : high[i]]))
@@ -226,14 +238,18 @@ def detector(
                 var = float(np.var(v[low[i] : high[i]]))
                 out.append((*key, ts[i], int(t[here[i]]), int(ids[i]), COLLAPSE, float("nan"), round(var, 9),
                             round(variance, 6), "high" if var < limit / 10 else "medium"))
-            upto = int(t[-1])
             if out:
                 yield pd.DataFrame(out, columns=ALERT_NAMES)
-        first = int(np.searchsorted(t, upto - width)) if len(t) else 0
-        state.update((t[first:].tolist(), v[first:].tolist(), last_spike, last_collapse, upto))
+        first = int(np.searchsorted(t, t[-1] - width)) if len(t) else 0
+        state.update(
+            (t[first:].tolist(), v[first:].tolist(), last_spike, last_collapse,
+             later["t_us"].tolist(), later["value"].tolist(), later["row_id"].tolist(), mean, std, variance)
+        )
+        if len(later):
+            state.setTimeoutTimestamp(max(int(later["t_us"].iloc[0]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return ready.groupBy("series", "sensor").applyInPandasWithState(
-        step, ALERT_SCHEMA, DETECTOR_STATE, "append", GroupStateTimeout.NoTimeout
+        step, ALERT_SCHEMA, DETECTOR_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

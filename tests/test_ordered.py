@@ -119,9 +119,26 @@ def test_first_rows(spark, rows, slice_s):
     assert sorted(r.row_id for r in got.collect()) == sorted(want)
 
 
-def test_fitting_slice_bounds_the_busiest_piece(spark, rows):
-    df = make(spark, rows)
-    width = ordered.fitting_slice(df, ["k"], "t_us", 1.0, most_rows=40)
-    most = ordered.with_slice(df, "t_us", width).groupBy("k", ordered.SLICE).count().agg(F.max("count")).first()[0]
-    wider = ordered.with_slice(df, "t_us", 4 * width).groupBy("k", ordered.SLICE).count().agg(F.max("count")).first()[0]
-    assert most <= 40 < wider
+@pytest.mark.parametrize("slice_s", [None, 2, 50])
+def test_cooldown_of_one_dense_key(spark, slice_s):
+    """Slices as long as the gap, or of many gaps, cut one crowded history alike."""
+    t = np.sort(np.random.default_rng(3).integers(0, 200 * S, 5000))
+    df = spark.createDataFrame([("k", int(x), i) for i, x in enumerate(t)], "k string, t_us long, row_id long")
+    want, last = [], None
+    for x in t.tolist():
+        if last is None or x >= last + 2 * S:
+            want.append(x)
+            last = x
+    got = ordered.cooldown(df, ["k"], "t_us", "row_id", 2, slice_s)
+    assert sorted(r.t_us for r in got.collect()) == want
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(k, i * 10 * S, i, v) for i, (k, v) in enumerate([(None, 1.0), ("a", 2.0), (None, None), ("a", None), (None, 3.0)])], "k string, t_us long, row_id long, v double")
+    for slice_s in (5, 1000):
+        assert sorted(r.ord for r in ordered.row_ordinal(df, ["k"], "t_us", "row_id", slice_s).collect()) == [0, 0, 1, 1, 2]
+        before = {r.row_id: r.prev_v for r in ordered.previous_row(df, ["k"], "t_us", "row_id", ["v"], slice_s).collect()}
+        assert before == {0: None, 1: None, 2: 1.0, 3: 2.0, 4: None}
+        filled = {r.row_id: r.f for r in ordered.carry_forward(df, ["k"], "t_us", "row_id", "v", slice_s, "f").collect()}
+        assert filled == {0: 1.0, 1: 2.0, 2: 1.0, 3: 2.0, 4: 3.0}
+        assert sorted(r.row_id for r in ordered.first_rows(df, ["k"], "t_us", "row_id", F.lit(2), slice_s).collect()) == [0, 1, 2, 3]
