@@ -22,11 +22,15 @@ def _text_time(us: str):
 )
 def src_flows(t: Tables):
     path = scratch_path(t.spark, "flows")
-    t.flows.select(
-        F.col("flow_id").alias(" sAddress"), F.col("l_returnflag").alias(" IT_M_Label"),
+    wide = t.flows.select(
+        F.col("l_linestatus").alias("_part"), F.col("flow_id").alias(" sAddress"), F.col("l_returnflag").alias(" IT_M_Label"),
         (F.col("t_us") / MICROS).alias("start"), F.col("l_quantity").alias("duration "),
         F.when(F.col("l_linestatus") == "O", F.lit("n/a")).otherwise(F.col("l_extendedprice").cast("string")).alias("sBytesSum"),
-    ).write.option("header", True).csv(path)
+    )
+    # two sets of files that order their columns differently
+    names = [c for c in wide.columns if c != "_part"]
+    wide.filter("_part = 'O'").select(*[F.col(c) for c in names]).write.option("header", True).csv(path)
+    wide.filter("_part <> 'O'").select(*[F.col(c) for c in reversed(names)]).write.mode("append").option("header", True).csv(path)
     return readers.read_flows(t.spark, path).select(
         "sAddress", "IT_M_Label", r("start", 3), "duration", "sBytesSum"
     )

@@ -1,8 +1,11 @@
-"""Readers with declared schemas. Nothing is inferred from data."""
+"""Readers of text tables by the headers of their files; no type is inferred from data."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +38,45 @@ TIME_NAMES = ("timestamp", "time", "Timestamp", "Time")
 LABEL_NAMES = ("attack", "Attack", "label", "Label", "anomaly")
 
 
-def text_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A CSV with header, every column as text under its stripped name."""
-    return strip_names(spark.read.options(header=True, **options).csv(path))
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """First line of each file, read by tasks; per distinct line the files that have it."""
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            lines = []
+            for name in pdf["path"]:
+                store, place = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", name))
+                with store.open_input_stream(place) as stream:
+                    text = b""
+                    while b"\n" not in text and (more := stream.read(1 << 16)):
+                        text += more
+                lines.append(text.split(b"\n")[0].decode("utf-8-sig").rstrip("\r"))
+            yield pd.DataFrame({"path": pdf["path"], "header": lines})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    found: dict[str, list[str]] = {}
+    for row in files.mapInPandas(first_lines, "path string, header string").collect():  # a row per file
+        if row["header"]:
+            found.setdefault(row["header"], []).append(row["path"])
+    return found
+
+
+def text_table(spark: SparkSession, path: str | list[str], file: str | None = None, **options) -> DataFrame:
+    """CSV files with headers, every column as text under its stripped name.
+
+    Files may order or choose their columns differently: those of one header are read together, and the parts are
+    united by name, null where a file lacks a column. ``file`` names a column for the files' places.
+    """
+    parts = None
+    for files in _headers(spark, path).values() or [path]:
+        raw = spark.read.options(header=True, **options).csv(files)
+        part = strip_names(raw)
+        if file:
+            part = part.withColumn(file, F.col("_metadata.file_path"))
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    return parts
 
 
 def read_flows(
@@ -106,32 +145,24 @@ def read_tagged(spark: SparkSession, folder: str, role: str, columns: Sequence[s
     tag columns; a file without one of them gives nulls.
     """
     globs = {"train": ["*train*", "*normal*"], "test": ["*test*"]}[role]
-    names: set[str] = set()
+    anchor = folder.rstrip("/").rsplit("/", 1)[-1]
     for glob in globs:
         try:
-            listed = spark.read.format("binaryFile").load(f"{folder}/{glob}").select("path")
+            headers = _headers(spark, f"{folder}/{glob}")
         except AnalysisException:  # the pattern matches nothing
             continue
-        anchor = folder.rstrip("/").rsplit("/", 1)[-1]
-        names = {
-            row["name"]
-            for row in listed.select(
-                F.regexp_extract("path", f".*/\\Q{anchor}\\E/([^/]+)", 1).alias("name")
-            ).distinct().collect()
-        }
-        break
-    if not names:
-        raise FileNotFoundError(f"no {role} file in {folder}")
-    parts = None
-    for name in sorted(names):
-        raw = resolve_columns(text_table(spark, f"{folder}/{name}"))
-        keep = [c for c in columns if c in raw.columns]
-        part = raw.select(
-            "ts", "attack", *[to_number(c).alias(c) for c in keep],
-            F.lit(name).alias("file"),
-        ).filter("ts IS NOT NULL")
-        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
-    return parts
+        parts = None
+        for files in headers.values():
+            raw = resolve_columns(text_table(spark, files, file="_file"))
+            keep = [c for c in columns if c in raw.columns]
+            part = raw.select(
+                "ts", "attack", *[to_number(c).alias(c) for c in keep],
+                F.regexp_extract("_file", f".*/\\Q{anchor}\\E/([^/]+)", 1).alias("file"),
+            ).filter("ts IS NOT NULL")
+            parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+        if parts is not None:
+            return parts
+    raise FileNotFoundError(f"no {role} file in {folder}")
 
 
 READING_SCHEMA = T.StructType(
