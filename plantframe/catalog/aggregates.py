@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import align, baseline, cluster, constraints, intervals, packets, profile, rolling, scoring
-from .base import BUCKET_S, BUCKETED, FLOW_FEATURES, FLOWS, READINGS, WINDOWS, Tables, query, r
+from .base import BUCKETED, BUCKET_S, FLOWS, FLOW_FEATURES, READINGS, SENSORS, Tables, WINDOWS, query, r
 from .joins import flow_days
 from .projections import matched, nulled, packet_table, MATCHED, NULLED
 
@@ -29,16 +29,16 @@ def agg_class_distribution(t: Tables):
     return profile.class_distribution(t.lineitem, "l_returnflag").select("l_returnflag", "n", r("pct"))
 
 
-@query(
-    "agg_bucket_var_range",
-    f"""WITH {BUCKETED} SELECT series, bucket, round(var_samp(value) FILTER (sensor = 'click'), 7) AS plc_var_click,
-    round(max(value) FILTER (sensor = 'click') - min(value) FILTER (sensor = 'click'), 6) AS plc_range_click,
-    round(var_samp(value) FILTER (sensor = 'view'), 7) AS plc_var_view,
-    round(max(value) FILTER (sensor = 'view') - min(value) FILTER (sensor = 'view'), 6) AS plc_range_view FROM bucketed GROUP BY 1, 2""",
+SPREADS = ", ".join(
+    f"round(var_samp(value) FILTER (sensor = '{s}'), 7) AS plc_var_{s}, round(max(value) FILTER (sensor = '{s}') - min(value) FILTER (sensor = '{s}'), 6) AS plc_range_{s}"
+    for s in SENSORS
 )
+
+
+@query("agg_bucket_var_range", f"WITH {BUCKETED} SELECT series, bucket, {SPREADS} FROM bucketed GROUP BY 1, 2")
 def agg_bucket_var_range(t: Tables):
-    wide = align.spread_wide(t.bucketed, ["series", "bucket"], ["click", "view"], "plc")
-    return wide.select("series", "bucket", r("plc_var_click", 7), r("plc_range_click"), r("plc_var_view", 7), r("plc_range_view"))
+    wide = align.spread_wide(t.bucketed, ["series", "bucket"], SENSORS, "plc")
+    return wide.select("series", "bucket", *[x for s in SENSORS for x in (r(f"plc_var_{s}", 7), r(f"plc_range_{s}"))])
 
 
 @query("agg_bucket_count", f"WITH {FLOWS} SELECT t_us // 86400000000 * 86400 AS bucket, count(*) AS n FROM flows GROUP BY 1")
@@ -57,12 +57,12 @@ def agg_variance_by_window(t: Tables):
     return v.select("feature", r("var_normal", 3), r("var_attack", 3), r("ratio"))
 
 
-FIRST_LATE = """cut AS (SELECT min(start_us) AS c FROM windows WHERE win_id % 7 = 3)"""
+FIRST_LATE = """cut AS (SELECT min(start_us) AS c FROM windows WHERE attack = 'port-scan')"""
 
 
 def warm_readings(t: Tables):
-    """Readings before the first attack window of a kind."""
-    marked = intervals.split_by_first_window(t.readings, "t_us", t.windows.filter("win_id % 7 = 3"), "start_us", "end_us")
+    """Readings before the first port scan."""
+    marked = intervals.split_by_first_window(t.readings, "t_us", t.windows.filter("attack = 'port-scan'"), "start_us", "end_us")
     return marked.filter("part = 'before'").drop("part")
 
 
@@ -336,11 +336,11 @@ def agg_constraint_coverage(t: Tables):
 @query(
     "agg_constraint_replay_hits",
     f"""WITH {WINDOWS}, bucketed AS (SELECT *, (t_us // 21600000000) * 21600 AS bucket FROM readings), {VIOL}
-    SELECT constraint_id, count(DISTINCT win_id) AS n_windows FROM windows JOIN viol ON bucket * 1000000 BETWEEN start_us AND end_us WHERE win_id % 4 = 3 GROUP BY 1""",
+    SELECT constraint_id, count(DISTINCT win_id) AS n_windows FROM windows JOIN viol ON bucket * 1000000 BETWEEN start_us AND end_us WHERE attack = 'replay' GROUP BY 1""",
 )
 def agg_constraint_replay_hits(t: Tables):
     v = sample_violations(t).distinct().withColumn("b_us", F.col("bucket") * C.MICROS)
-    hits = intervals.points_in_windows(v, "b_us", t.windows.filter("win_id % 4 = 3"), "start_us", "end_us", BUCKET_S)
+    hits = intervals.points_in_windows(v, "b_us", t.windows.filter("attack = 'replay'"), "start_us", "end_us", BUCKET_S)
     return hits.select("constraint_id", "win_id").distinct().groupBy("constraint_id").agg(F.count(F.lit(1)).alias("n_windows"))
 
 

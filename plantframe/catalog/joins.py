@@ -118,22 +118,21 @@ def join_overlap_best(t: Tables):
 
 @query(
     "join_label_span",
-    f"""WITH {WINDOWS}, spans AS (SELECT attack, min(start_us) AS s, max(end_us) AS e FROM windows WHERE win_id % 5 < 3 AND (win_id // 5) % 3 = 1 GROUP BY 1)
+    f"""WITH {WINDOWS}, spans AS (SELECT attack, min(start_us) AS s, max(end_us) AS e FROM windows GROUP BY 1)
     SELECT row_id, coalesce((SELECT arg_max(attack, list_position(['replay','ddos','port-scan','mitm','ip-scan'], attack))
       FROM spans WHERE t_us BETWEEN s AND e), 'Normal') AS label FROM readings""",
 )
 def join_label_span(t: Tables):
-    w = t.windows.filter("win_id % 5 < 3 AND win_id div 5 % 3 = 1")
-    return intervals.label_by_span(t.readings, "t_us", w, "attack", "start_us", "end_us").select("row_id", "label")
+    return intervals.label_by_span(t.readings, "t_us", t.windows, "attack", "start_us", "end_us").select("row_id", "label")
 
 
 @query(
     "join_split_by_window",
-    f"""WITH {WINDOWS}, f AS (SELECT arg_min(start_us, start_us) AS s, arg_min(end_us, start_us) AS e FROM windows WHERE win_id % 4 = 3)
+    f"""WITH {WINDOWS}, f AS (SELECT arg_min(start_us, start_us) AS s, arg_min(end_us, start_us) AS e FROM windows)
     SELECT row_id, CASE WHEN t_us < (SELECT s FROM f) THEN 'before' WHEN t_us <= (SELECT e FROM f) THEN 'inside' END AS part FROM readings""",
 )
 def join_split_by_window(t: Tables):
-    return intervals.split_by_first_window(t.readings, "t_us", t.windows.filter("win_id % 4 = 3"), "start_us", "end_us").select("row_id", "part")
+    return intervals.split_by_first_window(t.readings, "t_us", t.windows, "start_us", "end_us").select("row_id", "part")
 
 
 @query(

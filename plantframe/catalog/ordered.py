@@ -36,10 +36,10 @@ def win_rolling_var(t: Tables):
 
 @query(
     "win_abs_delta",
-    f"""WITH {READINGS} SELECT row_id, round(abs(value - lag(value) OVER (PARTITION BY series, sensor ORDER BY t_us, row_id)), 6) AS step FROM readings WHERE value > 5""",
+    f"""WITH {READINGS} SELECT row_id, round(abs(value - lag(value) OVER (PARTITION BY series, sensor ORDER BY t_us, row_id)), 6) AS step FROM readings WHERE value IS NOT NULL""",
 )
 def win_abs_delta(t: Tables):
-    known = t.readings.withColumn("value", F.when(F.col("value") > 5, F.col("value"))).filter("value IS NOT NULL")
+    known = t.readings.filter("value IS NOT NULL")
     stepped = previous_row(known, ["series", "sensor"], "t_us", "row_id", ["value"], 6 * 3600)
     return stepped.select("row_id", r(F.abs(F.col("value") - F.col("prev_value")), 6, "step"))
 

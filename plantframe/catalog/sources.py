@@ -8,7 +8,7 @@ from ..functions.columns import MICROS, epoch_us
 from ..session import scratch_path
 from ..sources import readers, sinks
 from ..sources.specs import load_specs, parse_spec_json
-from .base import FLOWS, READINGS, WINDOWS, Tables, query, r
+from .base import FLOWS, READINGS, SENSORS, WINDOWS, Tables, query, r
 
 
 def _text_time(us: str):
@@ -36,21 +36,25 @@ def src_flows(t: Tables):
     )
 
 
+_BY_SENSOR = ", ".join(f"""CASE WHEN sensor = '{s}' THEN value END AS "{s}\"""" for s in SENSORS)
+
+
 @query(
     "src_snapshots",
-    f"""WITH {READINGS} SELECT t_us // 1000000 AS unix_ts, round((t_us - min(t_us) OVER ()) / 1e6, 6) AS elapsed_s,
-    'A' AS series, CASE WHEN sensor = 'click' THEN value END AS click,
-    CASE WHEN sensor = 'view' THEN value END AS "view" FROM readings WHERE series = '0' AND sensor <> 'error'""",
+    f"""WITH {READINGS} SELECT t_us // 1000000 AS unix_ts, round((t_us - min(t_us) OVER (PARTITION BY series)) / 1e6, 6) AS elapsed_s,
+    series, {_BY_SENSOR} FROM readings WHERE value IS NULL OR value <= 100""",
 )
 def src_snapshots(t: Tables):
-    path = scratch_path(t.spark, "snapshots")
-    t.readings.filter("series = '0'").select(
-        F.when(F.col("sensor") == "error", "not a time").otherwise(_text_time("t_us")).alias("time"),
-        F.when(F.col("sensor") == "click", F.col("value")).alias(" click"),
-        F.when(F.col("sensor") == "view", F.col("value")).alias(" view"),
-    ).write.option("header", True).csv(path)
-    snaps = readers.read_snapshots(t.spark, path, ["click", "view", "absent"], "A")
-    return snaps.select("unix_ts", r("elapsed_s"), "series", "click", "view")
+    """Both controllers; rows of very large values are written without a time, and readers leave such rows out."""
+    parts = []
+    for series in ("0", "1"):
+        path = scratch_path(t.spark, "snapshots")
+        t.readings.filter(F.col("series") == series).select(
+            F.when(F.col("value") > 100, "not a time").otherwise(_text_time("t_us")).alias("time"),
+            *[F.when(F.col("sensor") == s, F.col("value")).alias(f" {s}") for s in SENSORS],
+        ).write.option("header", True).csv(path)
+        parts.append(readers.read_snapshots(t.spark, path, [*SENSORS, "absent"], series))
+    return parts[0].unionByName(parts[1]).select("unix_ts", r("elapsed_s"), "series", *SENSORS)
 
 
 @query(
