@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import MICROS, time_bucket
+from ..functions.columns import MICROS, few, join_keys, time_bucket
+from ..functions.ordered import first_rows
 from ..operators import baseline as base
 from ..operators import constraints as con
 from ..operators import rolling, scoring
@@ -101,22 +102,38 @@ class Evaluation:
     per_rule: DataFrame
 
 
+def split_warmup(readings: DataFrame, share: float, slice_s: float) -> tuple[DataFrame, DataFrame]:
+    """The readings up to the last of each series' first instants, and those after it.
+
+    Instants are counted, not readings: a snapshot of many sensors is one.
+    """
+    instants = readings.select("series", "t_us").distinct()
+    warm = first_rows(instants, ["series"], "t_us", "t_us", F.floor(F.lit(share) * F.col("n")), slice_s)
+    cut = few(warm.groupBy("series").agg(F.max("t_us").alias("_cut")), "cut")
+    marked = join_keys(readings, cut, ["series"], "left").withColumn("_warm", F.coalesce(F.col("t_us") <= F.col("_cut"), F.lit(False)))
+    return tuple(marked.filter(side).drop("_cut", "_warm") for side in ("_warm", "NOT _warm"))
+
+
 def evaluate(
     readings: DataFrame, tags: DataFrame, loops: DataFrame, spec_name: str, window_s: int = 60,
     warmup: float = 0.15, buffer_steps: int = 60, slice_s: float = 3600.0, rules: str | None = None,
+    train: DataFrame | None = None,
 ) -> Evaluation:
     """Readings ``(series, sensor, t_us, row_id, value, attack)`` to scores.
 
-    The window aggregate is written once; rules, results and scores read that table.
+    The baseline comes from the first instants of each series, a share of ``warmup`` of them, and the rest is scored;
+    with a table of its own to learn from (``train``), all of ``readings`` is scored. The window aggregate is written
+    once; rules, results and scores read that table.
     """
+    if train is None:
+        train, readings = split_warmup(readings, warmup, slice_s)
     mine, own_loops = tags.filter(F.col("spec_name") == spec_name), loops.filter(F.col("spec_name") == spec_name)
     bucketed = readings.withColumn("bucket", time_bucket(F.col("t_us"), window_s))
     keys, base_keys = ["series", "bucket"], ["series"]
     sensors = [row[0] for row in readings.select("sensor").distinct().collect()] if rules is None else []
     chosen = rules or rule_set(spec_name, sensors)
-    warm = base.warmup_rows(readings, ["series"], warmup, slice_s)
     baseline = stage(
-        base.tag_baseline(warm.withColumnRenamed("sensor", "tag"), ["series", "tag"], slice_s), "baseline"
+        base.tag_baseline(train.withColumnRenamed("sensor", "tag"), ["series", "tag"], slice_s), "baseline"
     )
     stats = stage(con.window_stats(bucketed, keys), "windows")
     if chosen == "process":

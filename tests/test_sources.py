@@ -83,7 +83,8 @@ def test_whole_evaluation(spark, shuffled):
         speed = 1000.0 if ramp else demand + (i % 7)
         level = 900.0 if 300 <= i < 310 else 300.0 + i % 11
         for tag, v in (("P2_AutoSD", demand), ("P2_SIT01", speed), ("P1_LIT01", level)):
-            rows.append(("plant", tag, i * S, len(rows), v, int(300 <= i < 360 or ramp)))
+            # what is marked as an attack in warm-up is not scored
+            rows.append(("plant", tag, i * S, len(rows), v, int(300 <= i < 360 or ramp or 60 <= i < 120)))
     df = spark.createDataFrame(rows, "series string, sensor string, t_us long, row_id long, value double, attack int")
     if shuffled:
         df = df.repartition(7, "value")
@@ -94,6 +95,9 @@ def test_whole_evaluation(spark, shuffled):
     r = e.report.first()
     assert (r.n_true_events, r.n_pred_clusters, r.std_f1, r.etapr_f1) == (2, 2, 1.0, 1.0)
     assert {r.rule: r.std_recall for r in e.per_rule.collect()} == {"C1": 0.5, "C2": 0.0, "C3": 0.5, "C4": 0.0}
+    assert min(r.bucket for r in e.windows.collect()) == 120
+    learned = ev.evaluate(df.filter(f"t_us >= {150 * S}"), tags, loops, "process-plant", buffer_steps=1, slice_s=30, train=df.filter(f"t_us < {150 * S}"))
+    assert sorted((r.bucket, r.constraint_id) for r in learned.violations.collect()) == [(300, "C1"), (480, "C3")]
     generic = ev.evaluate(df, tags, loops, "process-plant", warmup=0.25, buffer_steps=1, slice_s=30, rules="generic")
     assert {r.constraint_id for r in generic.violations.collect()} == {"GC1", "GC3"}
 
