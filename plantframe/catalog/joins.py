@@ -271,8 +271,8 @@ def join_knn_distance(t: Tables):
 
 @query(
     "join_knn1_assign",
-    f"WITH {SAMPLE.format(n=100)}, {PAIRS} SELECT vec_id AS row_id, CAST(arg_min(label, d) AS BIGINT) AS cluster FROM pairs GROUP BY 1",
+    f"WITH {SAMPLE.format(n=5000)}, {PAIRS} SELECT vec_id AS row_id, CAST(arg_min(label, d) AS BIGINT) AS cluster FROM pairs GROUP BY 1",
 )
 def join_knn1_assign(t: Tables):
     v = vectors(t)
-    return cluster.nearest_label(v, "x", fixed_size(v, ["row_id"], 100), "label").select("row_id", "cluster")
+    return cluster.nearest_label(v, "x", fixed_size(v, ["row_id"], 5000), "label").select("row_id", "cluster")

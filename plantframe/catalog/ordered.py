@@ -104,14 +104,14 @@ def win_ffill(t: Tables):
 
 
 KNEE = """curve AS (SELECT event_id, value AS d, row_number() OVER (ORDER BY value DESC, event_id) AS i, count(*) OVER () AS n
-    FROM (SELECT * FROM events ORDER BY md5(concat_ws('|', event_id, '42')) LIMIT 500)),
+    FROM (SELECT * FROM events ORDER BY md5(concat_ws('|', event_id, '42')) LIMIT 5000)),
   g1 AS (SELECT *, CASE WHEN i = 1 THEN lead(d) OVER o - d WHEN i = n THEN d - lag(d) OVER o ELSE (lead(d) OVER o - lag(d) OVER o) / 2 END AS d1 FROM curve WINDOW o AS (ORDER BY i)),
   g2 AS (SELECT *, CASE WHEN i = 1 THEN lead(d1) OVER o - d1 WHEN i = n THEN d1 - lag(d1) OVER o ELSE (lead(d1) OVER o - lag(d1) OVER o) / 2 END AS d2 FROM g1 WINDOW o AS (ORDER BY i))"""
 
 
 @query("win_knee", f"WITH {KNEE} SELECT d AS eps FROM g2 WHERE i <= n // 2 ORDER BY d2 DESC, i LIMIT 1")
 def win_knee(t: Tables):
-    sample = sampling.fixed_size(t.events, ["event_id"], 500)
+    sample = sampling.fixed_size(t.events, ["event_id"], 5000)
     return cluster.knee(sample, "value", "event_id")
 
 

@@ -1,12 +1,13 @@
 """Clustering without labels, and how good the clusters are.
 
-Neighbour searches compare every row with a *sample* whose size is a parameter with a hard ceiling, so
-the sample may travel to every task as one matrix. Rows stay where they are.
+Neighbour searches compare every row with a *sample* whose size is a parameter. It travels to the tasks in blocks of
+bounded size, one after the other, and each row keeps what it needs of the blocks so far. Rows stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from .align import fill_with_median
 from .profile import per_column, skew
 from .sampling import fixed_size
 
-MAX_SAMPLE = 20_000  # ceiling for any sample sent to all tasks
+BLOCK_ROWS = 20_000  # sample rows that are sent to all tasks at once
 
 
 # ---- features --------------------------------------------------------------------------------
@@ -65,52 +66,69 @@ def cumulative_share(shares: DataFrame, enough: float = 0.95) -> DataFrame:
     return run.withColumn("n_needed", needed)
 
 
-# ---- neighbours in a bounded sample ----------------------------------------------------------
+# ---- neighbours in a sample ----------------------------------------------------------
 
 
-def _matrix(sample: DataFrame, vec: str, *extra: str) -> tuple[np.ndarray, list]:
-    rows = sample.select(vec, *extra).limit(MAX_SAMPLE + 1).collect()
-    if len(rows) > MAX_SAMPLE:
-        raise ValueError(f"the sample has more than {MAX_SAMPLE} rows")
-    return np.array([r[0] for r in rows], dtype=float), rows
+def _blocks(sample: DataFrame, vec: str, extra: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sample's vectors and one more column, in blocks."""
+    rows = sample.select(vec, extra).toLocalIterator()
+    while block := list(islice(rows, BLOCK_ROWS)):
+        yield np.array([r[0] for r in block], dtype=float), np.array([r[1] for r in block])
 
 
-def _against(df: DataFrame, vec: str, matrix: np.ndarray, out: str, fn, schema: str) -> DataFrame:
-    """Call ``fn(distances)`` per batch of rows; it gives one value per row."""
-    shared = df.sparkSession.sparkContext.broadcast(matrix)
+def _fold(df: DataFrame, vec: str, sample: DataFrame, extra: str, out: str, fn) -> DataFrame:
+    """Call ``fn(distances, state, extra)`` per batch of rows and block of the sample.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        points = shared.value
-        squares = (points**2).sum(1)
-        for pdf in batches:
-            parts = []
-            for at in range(0, len(pdf), 1024):
-                x = np.stack(pdf[vec].iloc[at : at + 1024].to_numpy()).astype(float)
-                d2 = (x**2).sum(1)[:, None] + squares[None, :] - 2 * x @ points.T
-                parts.extend(fn(np.sqrt(np.maximum(d2, 0.0))))
-            pdf[out] = parts
-            yield pdf
-
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{names}, `{out}` {schema}")
+    It gives the rows' new state, a list of numbers for each row; before the first block a state is empty.
+    """
+    spark = df.sparkSession
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    rows = df.withColumn(out, F.array().cast("array<double>"))
+    for block in _blocks(sample, vec, extra):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            points, more = shared.value
+            middle = points.mean(axis=0)  # far from the origin, squares of plain coordinates lose digits
+            points = points - middle
+            squares = (points**2).sum(1)
+            for pdf in batches:
+                parts = []
+                for at in range(0, len(pdf), 1024):
+                    x = np.stack(pdf[vec].iloc[at : at + 1024].to_numpy()).astype(float) - middle
+                    d2 = (x**2).sum(1)[:, None] + squares[None, :] - 2 * x @ points.T
+                    parts.extend(fn(np.sqrt(np.maximum(d2, 0.0)), list(pdf[out].iloc[at : at + 1024]), more))
+                pdf[out] = parts
+                yield pdf
+
+        rows = rows.mapInPandas(run, f"{kept}, `{out}` array<double>")
+    return rows
 
 
 def neighbour_distance(
     df: DataFrame, vec: str, sample: DataFrame, k: int = 4, out: str = "knn_distance"
 ) -> DataFrame:
     """Distance to the k-th nearest sample row. A row of the sample counts itself as the first."""
-    matrix, _ = _matrix(sample, vec)
-    nth = min(k, len(matrix)) - 1
-    return _against(df, vec, matrix, out, lambda d: np.partition(d, nth, axis=1)[:, nth], "double")
+
+    def smallest(d: np.ndarray, state: list, _) -> list:
+        every = np.concatenate([np.stack(state), d], axis=1)
+        return list(np.partition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else every)
+
+    found = _fold(df, vec, sample.withColumn("_none", F.lit(0)), "_none", out, smallest)
+    return found.withColumn(out, F.array_max(out))
 
 
 def nearest_label(
     df: DataFrame, vec: str, sample: DataFrame, label: str, out: str = "cluster"
 ) -> DataFrame:
-    """The label of the nearest sample row."""
-    matrix, rows = _matrix(sample, vec, label)
-    labels = np.array([r[1] for r in rows])
-    return _against(df, vec, matrix, out, lambda d: labels[d.argmin(1)], "long")
+    """The label, a whole number, of the nearest sample row."""
+
+    def nearer(d: np.ndarray, state: list, labels: np.ndarray) -> list:
+        at = d.argmin(1)
+        new = zip(d[np.arange(len(d)), at].tolist(), labels[at].tolist())
+        return [[a, float(b)] if not len(old) or a < old[0] else old for (a, b), old in zip(new, state)]
+
+    return _fold(df, vec, sample, label, out, nearer).withColumn(out, F.get(out, 1).cast("long"))
 
 
 def knee(curve: DataFrame, distance: str = "knn_distance", tie: str = "row_id") -> DataFrame:
@@ -146,13 +164,13 @@ def density_clusters(
     within ``eps`` of each other share a cluster; other rows join the cluster of their first core
     neighbour. Clusters are named by their smallest core row.
     """
-    spark = sample.sparkSession
-    matrix, rows = _matrix(sample, vec, row_id)
-    ids = np.array([r[1] for r in rows])
-    near = _against(
-        sample.select(row_id, vec), vec, matrix, "near",
-        lambda d: [[int(i) for i in ids[row <= eps]] for row in d], "array<long>",
-    ).select(F.col(row_id).alias("src"), "near")
+
+    def within(d: np.ndarray, state: list, ids: np.ndarray) -> list:
+        return [np.concatenate([old, ids[row <= eps]]) for row, old in zip(d, state)]
+
+    near = _fold(sample.select(row_id, vec), vec, sample, row_id, "near", within).select(
+        F.col(row_id).alias("src"), F.col("near").cast("array<long>").alias("near")
+    )
     near = stage(near, "neighbours")
     core = near.filter(F.size("near") >= min_points).select("src")
     edges = stage(
@@ -347,19 +365,17 @@ def cluster_quality(
 def silhouette(sample: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Euclidean silhouette of each row of a bounded sample."""
     sample = stage(sample, "silhouette")
-    matrix, rows = _matrix(sample, vec, cluster)
-    names, codes = np.unique(np.array([r[1] for r in rows]), return_inverse=True)
-    sizes = np.bincount(codes)
-    shared = sample.sparkSession.sparkContext.broadcast((names, codes, sizes))
+    counts = sample.groupBy(cluster).count().orderBy(cluster).collect()  # a row per cluster
+    names, sizes = np.array([r[0] for r in counts]), np.array([r[1] for r in counts])
 
-    def run(d: np.ndarray) -> list:
-        _, codes, sizes = shared.value
-        return [np.bincount(codes, weights=row, minlength=len(sizes)).tolist() for row in d]
+    def add(d: np.ndarray, state: list, own: np.ndarray) -> list:
+        codes = np.searchsorted(names, own)
+        sums = [np.bincount(codes, weights=row, minlength=len(names)) for row in d]
+        return [new + np.asarray(old) if len(old) else new for new, old in zip(sums, state)]
 
-    summed = _against(sample.select(vec, cluster), vec, matrix, "sums", run, "array<double>")
+    summed = _fold(sample.select(vec, cluster), vec, sample, cluster, "sums", add)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, _, sizes = shared.value
         for pdf in batches:
             out = []
             for own, sums in zip(pdf[cluster], pdf["sums"]):

@@ -153,3 +153,25 @@ def test_packet_header(spark):
     assert (r[0].transaction_id, r[0].protocol_id, r[0].length, r[0].unit_id, r[0].words) == (1, 0, 6, 1, [0x0300, 0x6B00, 0x03FF])
     assert (r[1].transaction_id, r[1].protocol_id, r[1].words) == (1, None, [])
     assert r[2].transaction_id is None
+
+
+def test_chi2_tail_of_many_degrees():
+    assert profile._chi2_tail(2000.0, 2000) == pytest.approx(0.4958, abs=1e-3)
+    assert profile._chi2_tail(2100.0, 2001) == pytest.approx(0.0601, abs=2e-3)
+    assert 0 < profile._chi2_tail(3000.0, 2000) < 1e-30
+    assert profile._chi2_tail(0.0, 4) == 1.0
+
+
+def test_neighbours_in_blocks_far_from_the_origin(spark, monkeypatch):
+    from plantframe.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 3)) + 1e6
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "row_id long, x array<double>, label long")
+    sample = df.filter("row_id < 20")
+    d = np.sqrt(((x[:, None] - x[None, :20]) ** 2).sum(-1))
+    got = {r.row_id: r.knn_distance for r in cluster.neighbour_distance(df, "x", sample, 4).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(np.sort(d, axis=1)[:, 3].tolist(), rel=1e-6)
+    names = {r.row_id: r.cluster for r in cluster.nearest_label(df, "x", sample, "label").collect()}
+    assert [names[i] for i in range(40)] == [int(j) % 3 for j in d.argmin(1)]

@@ -119,3 +119,24 @@ def test_time_text(spark):
     df = spark.createDataFrame([("2022-09-16 12:00:00.25",), ("2022-09-16T14:00:00+02:00",), ("2022-09-16T12:00:00Z",), ("soon",), (None,)], "t string")
     got = [r[0] for r in df.select(F.unix_micros(to_instant("t"))).collect()]
     assert got == [1663329600250000, 1663329600000000, 1663329600000000, None, None]
+
+
+def test_comments_with_quotes_and_slashes_in_strings(spark):
+    from plantframe.sources.specs import clean_json
+
+    text = 'Here it is:\n```json\n{"a": "x // y \\" z", // it is "said", isn\'t it\n "b": 1 /* "c": 2 */}\n```\n done'
+    got = spark.createDataFrame([(text,), ("no object",), (None,), ("} {",)], "t string").select(clean_json(F.col("t"))).collect()
+    assert [r[0] for r in got[1:]] == [None, None, None]
+    import json
+
+    assert json.loads(got[0][0]) == {"a": 'x // y " z', "b": 1}
+
+
+def test_files_order_their_columns_differently(spark, tmp_path):
+    from plantframe.sources.readers import text_table
+
+    (tmp_path / "a.csv").write_text("start, duration ,sLoad\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("duration,sLoad,start\n20,30,10\n")
+    (tmp_path / "c.csv").write_text("start,extra\n100,x\n")
+    rows = {r.start: (r.duration, r.sLoad, r.extra) for r in text_table(spark, str(tmp_path)).collect()}
+    assert rows == {"1": ("2", "3", None), "10": ("20", "30", None), "100": (None, None, "x")}
