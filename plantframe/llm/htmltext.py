@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 LEAST_SHARE = 0.2
 #: Share of a page's prose that a container must hold to be proposed.
 MOST_OF = 0.8
+#: Parts that the pages of each host are spread over when they meet its paths.
+PARTS = 32
 #: Weight of prose inside of article or main elements.
 SEMANTIC = 3
 
@@ -184,6 +186,9 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
         votes.join(cast, "host").filter(F.col("count") >= LEAST_SHARE * F.col("all")).groupBy("host")
         .agg(F.sort_array(F.collect_list(F.struct(-F.col("count"), "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
     )
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), F.col(html_column).alias("html"))
-    texts = rows.join(winners, "host", "left").select("row", text_of("html", "paths").alias("text"))
+    # a host may have much of the table: its pages are spread over parts, and its few paths are copied for each
+    part = F.pmod(F.xxhash64(F.col(url_column), F.length(html_column)), F.lit(PARTS))
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), part.alias("part"), F.col(html_column).alias("html"))
+    copies = winners.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("bigint"))
+    texts = rows.join(copies, ["host", "part"], "left").select("row", text_of("html", "paths").alias("text"))
     return texts.select("row", "text", F.length("text").cast("long").alias("n_chars"))
