@@ -189,6 +189,6 @@ def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html"
     # a host may have much of the table: its pages are spread over parts, and its few paths are copied for each
     part = F.pmod(F.xxhash64(F.col(url_column), F.length(html_column)), F.lit(PARTS))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host.alias("host"), part.alias("part"), F.col(html_column).alias("html"))
-    copies = winners.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("bigint"))
+    copies = winners.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
     texts = rows.join(copies, ["host", "part"], "left").select("row", text_of("html", "paths").alias("text"))
     return texts.select("row", "text", F.length("text").cast("long").alias("n_chars"))
