@@ -97,18 +97,28 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, visits: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bucket: np.ndarray, k: int):
-    """The ``k`` nearest visited vectors of each query; ``visits[q, bucket[i]]`` says whether q visits vector i."""
+    """The ``k`` nearest visited ids of each query, each with its best score; ``visits[q, bucket[i]]`` says whether q
+    visits vector i."""
     out = []
-    unit, step = _unit(vectors), 256
+    if len(query_ids):
+        by_id = np.argsort(ids, kind="stable")
+        ids, vectors, bucket = ids[by_id], vectors[by_id], bucket[by_id]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        unit, step = _unit(vectors), 256
     for low in range(0, len(query_ids), step):
         part = slice(low, low + step)
         near = _unit(queries[part]) @ unit.T
         near[~visits[part][:, bucket] | (query_ids[part, None] == ids)] = -np.inf
-        at = max(0, len(ids) - k)
+        of_id = np.maximum.reduceat(near, first, axis=1)
+        at = max(0, len(first) - k)
         # rounding of the product can't reorder what the exact comparison sees: ties at the border all pass
-        border = np.partition(near, at, axis=1)[:, at] - 1e-9
+        border = np.partition(of_id, at, axis=1)[:, at] - 1e-9
         q, i = np.nonzero((near >= border[:, None]) & (near > -np.inf))
         score = cosines(queries[part][q], vectors[i])
+        order = np.lexsort((-score, ids[i], q))
+        again = (q[order][1:] == q[order][:-1]) & (ids[i[order]][1:] == ids[i[order]][:-1])
+        once = order[np.append(True, ~again)[: len(order)]]
+        q, i, score = q[once], i[once], score[once]
         order = np.lexsort((ids[i], -score, q))
         q, i, score = q[order], i[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -127,7 +137,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, hashing: Hashing
     Rows of a table meet in groups of buckets. A group with many vectors or queries is split into blocks, and every
     block of vectors meets every block of queries, so one task holds a block of each however common a vector is.
     """
-    base = usable(vectors, id_column, vector_column)
+    # copies of a row would fill the block of their id
+    base = usable(vectors, id_column, vector_column).dropDuplicates(["id", "v"])
     asked = usable(queries, id_column, vector_column)
     total = base.count()
     groups = max(1, -(-total // hashing.block_vectors))

@@ -77,6 +77,23 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_rows_that_share_an_id_count_once(spark):
+    rng = np.random.default_rng(3)
+    once = [(i, rng.standard_normal(8).tolist()) for i in range(60)]
+    other = [(i, (np.array(v) + 1e-3 * rng.standard_normal(8)).tolist()) for i, v in once for _ in range(6)]
+    rows = once * 6 + other
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame(once[:10], table.schema)
+    got = {}
+    for r in sorted(neighbours.nearest(table, asked, hashing=neighbours.Hashing(success=1.0)).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], np.float32).astype(float)
+    for q, x in once[:10]:
+        score = neighbours.cosines(np.repeat(np.array([x], np.float32).astype(float), len(v), 0), v)
+        best = {i: score[ids == i].max() for i in set(ids.tolist()) - {q}}
+        assert got[q] == sorted(best, key=lambda i: (-best[i], i))[:5]
+
+
 def test_recall_on_a_given_table(spark):
     from plantframe.llm.queries import QUERIES
 
