@@ -2,7 +2,8 @@
 
 Every page proposes the tightest container that holds most of its prose. The proposals, as paths of tags and classes
 with digits blanked, are counted per host, and each page is extracted with the paths that its host agrees on. A page
-on which none of them occurs uses its own.
+on which none of them occurs uses its own. Headings, leads and endings often stand outside of the tightest container:
+on each page the path is widened to the article or main element around it, or as far as only such blocks are added.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("head script style noscript template iframe object svg math canvas audio video map select textarea button".split())
 BOILERPLATE = set("nav footer aside form menu dialog search".split())
@@ -39,6 +41,8 @@ NOISE = set(
     "pager pagination paywall popup promo promoted promotion recommended related replies respond share sharing sidebar signin signup social "
     "sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words of class names, ids and roles of containers that are parts of an article.
+PARTS_OF_ARTICLE = set("abstract article body byline content conclusion deck dek entry headline heading intro introduction lead lede outro post standfirst subtitle summary text title".split())
 #: Tags whose start ends an open element of the same kind.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -58,7 +62,7 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 class Element:
-    __slots__ = ("tag", "step", "noise", "semantic", "parent", "path", "prose")
+    __slots__ = ("tag", "step", "noise", "semantic", "parent", "path", "prose", "region")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None):
         found = {k.lower(): a or b or c for k, a, b, c in _NAMED.findall(attributes)} if attributes else {}
@@ -69,6 +73,7 @@ class Element:
         words = {w.lower() for v in found.values() for w in _WORD.findall(v)} if found and tag not in ("html", "body") else ()
         own = tag in HIDDEN or tag in BOILERPLATE or tag == "header" and not inside or bool(words and words & NOISE)
         self.noise = parent is not None and parent.noise or own
+        self.region = tag in CONTAINERS and not (words and words & PARTS_OF_ARTICLE)
         self.step = ".".join([tag, *names])
         self.path = f"{parent.path}>{self.step}" if parent is not None else self.step
 
@@ -146,22 +151,39 @@ def proposal(html: str) -> str | None:
     return max(fit, key=lambda e: e.path.count(">")).path if fit else None
 
 
-def main_text(html: str, paths: list[str]) -> str:
-    """Blocks inside of the first of the paths that occurs with text, joined by line feeds."""
-    found: dict[str, list[str]] = {p: [] for p in paths}
-    rest: list[str] = []
-    for element, text, _ in blocks(html):
-        if element.noise:
+def _below(element: Element, path: str) -> bool:
+    return element.path == path or element.path.startswith(path + ">")
+
+
+def widened(path: str, found: list[tuple[Element, str, int]]) -> str:
+    """Path of the article or main element around a path, and from there of the outermost ancestor below the body that
+    adds only headings and prose in no region of its own; ``found`` are the page's blocks without noise."""
+    up = next(e for e, _, _ in found if _below(e, path))
+    while up.path != path:
+        up = up.parent
+    while (up := up.parent) is not None and up.tag not in ("body", "html"):
+        if up.semantic:
+            path = up.path
             continue
-        rest.append(text)
-        for path in found:
-            if element.path == path or element.path.startswith(path + ">"):
-                found[path].append(text)
+        added = [(e, linked * 2 < len(text) or e.tag in HEADINGS) for e, text, linked in found if _below(e, up.path) and not _below(e, path)]
+        for element, prose in added:
+            while prose and element.path != up.path:
+                prose, element = not element.region, element.parent
+            if not prose:
+                return path
+        path = up.path if added else path
+    return path
+
+
+def main_text(html: str, paths: list[str]) -> str:
+    """Blocks inside of the first of the paths that occurs with text, widened, joined by line feeds."""
+    found = [block for block in blocks(html) if not block[0].noise]
     for path in paths:
-        if found[path]:
-            return "\n".join(found[path])
+        if any(_below(e, path) for e, _, _ in found):
+            wide = widened(path, found)
+            return "\n".join(text for e, text, _ in found if _below(e, wide))
     own = proposal(html) if paths else None
-    return main_text(html, [own]) if own and own not in found else "\n".join(rest)
+    return main_text(html, [own]) if own and own not in paths else "\n".join(text for _, text, _ in found)
 
 
 def extract(pages: DataFrame, url_column: str = "url", html_column: str = "html") -> DataFrame:

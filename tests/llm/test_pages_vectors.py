@@ -30,6 +30,17 @@ def test_pages_follow_their_host(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string, host string, path string")).count() == 0
 
 
+@pytest.mark.parametrize("inner", ["article", 'div class="wrap"'])
+def test_heading_lead_and_ending_outside_of_the_body(spark, inner):
+    body = "".join(f"<p>Paragraph {k} of the body with a good many words in it.</p>" for k in range(20))
+    page = f'<html><body><div id="page"><div class="xyz"><p>Side.</p></div><{inner}><h1>T</h1><p class="lead">Lead.</p><div class="body">{body}</div><p>End.</p></{inner.split()[0]}></div></body></html>'
+    short = page.replace('<h1>T</h1><p class="lead">Lead.</p>', "").replace("<p>End.</p>", "")
+    rows = [(i, "http://a.example.org/1", page if i < 3 else short) for i in range(10)]
+    found = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("row.page_id", "text").collect()}
+    lines = [f"Paragraph {k} of the body with a good many words in it." for k in range(20)]
+    assert all(found[i].split("\n") == (["T", "Lead.", *lines, "End."] if i < 3 else lines) for i in range(10))
+
+
 def test_sequences():
     rng = np.random.default_rng(1)
     for n, top in ((0, 1), (1, 0), (1, 10**12), (5, 3), (1000, 10), (1000, 10**6), (3000, 2**40), (300, 2**62)):
