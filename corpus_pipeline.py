@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantframe.llm import bpe, mixing, nearcopies, pii, quality
+from plantframe.llm import bpe, mixing, pii, quality, simhash
 from plantframe.llm.queries import tokenizer_path
 from plantframe.session import stage
 
@@ -24,8 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays: that with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """One document of each group of near copies stays: that with the smallest id.
+
+    Groups are those of the SimHash operator: fingerprints of three-word shingles, linked at two or fewer differing bits.
+    """
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
