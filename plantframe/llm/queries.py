@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, htmltext, idfiles, lm, mixing, neighbours, pii, quality, simhash, wordpiece
+from . import bpe, hardnegatives, htmltext, idfiles, lm, mixing, neighbours, pii, quality, repeats, simhash, whitening, wordpiece
 
 #: The public vocabulary that the queries encode with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -154,3 +154,40 @@ def op8_lm_scores(spark, folder):
     model = lm.fit(docs.filter("NOT held_out"))
     scores = docs.select("doc_id", "held_out", lm.score(F.col("text"), model).alias("s"))
     return scores.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
+
+
+@query("op11_repeats")
+def op11_repeats(spark, folder):
+    kept = repeats.remove(table(spark, folder, "documents").select("doc_id", "text"), length=50)
+    return kept.select(
+        "row.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS x
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+    """,
+)
+def op12_hard_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardnegatives.mine(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, folder):
+    out = whitening.whiten(table(spark, folder, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
