@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,7 +48,32 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/plantframe-{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, but those staged with ``keep``, which belong to the scope around it.
+
+    What is read after the scope must be staged with ``keep``.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that have ended: it does so when the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def stage(df: DataFrame, label: str, compression: str | None = None, keep: bool = False) -> DataFrame:
     """Write an intermediate table once and read it back.
 
     Used where several branches read the same aggregate: the raw data is scanned once, and lost
@@ -54,4 +82,6 @@ def stage(df: DataFrame, label: str, compression: str | None = None) -> DataFram
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path, compression=compression)
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
