@@ -156,7 +156,24 @@ def op8_lm_scores(spark, folder):
     return scores.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-@query("op11_repeats")
+@query(
+    "op11_repeats",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT r, doc_id, unnest(range(0, CAST(len(h) // 2 - 49 AS BIGINT))) AS p, h FROM d),
+    g AS (SELECT r, doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS gram FROM w),
+    l AS (SELECT r, p FROM (SELECT r, doc_id, p, min(doc_id) OVER (PARTITION BY gram) AS least FROM g) WHERE least < doc_id),
+    i AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM l),
+    n AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS nth FROM i),
+    s AS (SELECT r, nth, min(p) AS b, max(p) + 50 AS e FROM n GROUP BY r, nth),
+    t AS (SELECT r, b, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY nth) AS before FROM s),
+    k AS (SELECT r, string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (b - before) AS BIGINT)), '' ORDER BY b) AS parts,
+                 count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS upto FROM t JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(CASE WHEN upto IS NULL THEN h ELSE parts || substr(h, CAST(2 * upto + 1 AS BIGINT)) END)) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)
+    """,
+)
 def op11_repeats(spark, folder):
     kept = repeats.remove(table(spark, folder, "documents").select("doc_id", "text"), length=50)
     return kept.select(
@@ -176,9 +193,10 @@ def op11_repeats(spark, folder):
           FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
     p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
-    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+           id AS negative_id, positive_score, score AS negative_score
     FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-    QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY rank <= 10
     """,
 )
 def op12_hard_negatives(spark, folder):

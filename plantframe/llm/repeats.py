@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plantframe.session import stage
+from plantframe.session import release, scope, stage
 
 from .words import pieces, text_bytes
 
 #: Windows that are keyed at once.
-STEP = 1 << 21
+STEP = 1 << 16
 #: Windows of one key that travel in one string at most; longer runs go in parts.
 RUN = 64
 #: Bytes of text for each bucket of keys, and of strings for each suffix array.
@@ -160,16 +160,16 @@ def shared_keys(texts: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def strings_of(texts: DataFrame, length: int) -> DataFrame:
-    """Strings of neighbouring windows under shared keys: ``key``, ``s``, where it stands (``t1``, ``t2``, ``least``, ``pos``).
+    """Strings of neighbouring windows under shared keys: ``key``, ``s``, and where it stands (``t1``, ``least``, ``pos``).
 
-    ``texts`` has ``t1``, ``t2``, ``least``, ``text`` and ``keys``, all rows of ``shared_keys`` of the text.
+    ``texts`` has ``t1``, ``least``, ``text`` and ``keys``, all rows of ``shared_keys`` of the text.
     """
 
     def cut(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(3))
-            wanted = batch.column(4).to_pylist()
-            names = [batch.column(i).to_numpy() for i in range(3)]
+            data, offsets = text_bytes(batch.column(2))
+            wanted = batch.column(3).to_pylist()
+            names = [batch.column(i).to_numpy() for i in range(2)]
             for low, high in pieces(offsets):
                 part = data[offsets[low] : offsets[high]]
                 own = offsets[low : high + 1] - offsets[low]
@@ -186,10 +186,30 @@ def strings_of(texts: DataFrame, length: int) -> DataFrame:
                     found = [whole[a:b] for a, b in zip(begin.tolist(), (begin + n + length - 1).tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(key.view(np.int64)), pa.array(found, pa.binary()), *[pa.array(x[low + row]) for x in names], pa.array(start.astype(np.int64))],
-                        ["key", "s", "t1", "t2", "least", "pos"],
+                        ["key", "s", "t1", "least", "pos"],
                     )
 
-    return texts.select("t1", "t2", "least", "text", "keys").mapInArrow(cut, "key long, s binary, t1 long, t2 long, least long, pos long")
+    return texts.select("t1", "least", "text", "keys").mapInArrow(cut, "key long, s binary, t1 long, least long, pos long")
+
+
+def _sharing(strings: list[bytes], keys: np.ndarray, length: int) -> np.ndarray:
+    """Places of the strings that may share a window with another one of their key, by hashes of windows."""
+    _, of_key, n = np.unique(keys, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(n[of_key] > 1)
+    some = [strings[i] for i in several]
+    sizes = np.array([len(s) for s in some], np.int64)
+    n = sizes - length + 1
+    string = np.repeat(np.arange(len(some)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+    padded = np.frombuffer(b"".join(some) + bytes(8), np.uint8)
+    loads = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    hashes = np.zeros(len(at), np.uint64)
+    for step in sorted({*range(0, length - 7, 8), length - 8}):
+        hashes = _mixed(hashes ^ loads[at + step], 0x9E3779B97F4A7C15)
+    order = np.argsort(hashes)
+    string, hashes = string[order], hashes[order]
+    met = np.flatnonzero((hashes[1:] == hashes[:-1]) & (string[1:] != string[:-1]))
+    return several[np.unique(np.concatenate([string[met], string[met + 1]]))]
 
 
 class IntervalTree:
@@ -305,14 +325,18 @@ def _strings(docs: DataFrame, id_column: str, text_column: str, length: int):
     firsts = marks.groupBy("t1", "t2").agg(F.min("d").alias("least"))
     long_enough = named.filter(F.octet_length("text") >= length)
     shared = shared_keys(long_enough.select(F.col("t1").alias("ref"), "text"), length, max(16, -(-size // KEY_BYTES)))
-    keys = stage(shared, "shared-keys").groupBy("ref").agg(F.collect_list("keys").alias("keys"))
+    shared = stage(shared, "shared-keys")
+    release(docs.sparkSession)
+    keys = shared.groupBy("ref").agg(F.collect_list("keys").alias("keys"))
     wanted = firsts.join(keys, F.col("t1") == F.col("ref")).select("t1", "t2", F.col("least").alias("d"), "keys")
     texts = long_enough.join(wanted, ["t1", "t2", "d"]).withColumnRenamed("d", "least")
     places = stage(strings_of(texts, length), "strings", compression="zstd")
+    release(docs.sparkSession)
     hashes = [F.xxhash64("key", "s").alias("s1"), F.xxhash64(F.lit("again"), "key", "s").alias("s2")]
     distinct = places.groupBy("key", "s").agg(F.min("least").alias("low"), F.max("least").alias("high"))
     distinct = stage(distinct.select("key", "s", *hashes, "low", "high"), "distinct-strings", compression="zstd")
-    places = places.select(*hashes, "t1", "t2", "least", "pos", F.octet_length("s").cast("long").alias("n"))
+    release(docs.sparkSession)
+    places = places.select(*hashes, "t1", "least", "pos", F.octet_length("s").cast("long").alias("n"))
     return marks, firsts, places, distinct
 
 
@@ -344,12 +368,13 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def scan(table: pa.Table) -> pa.Table:
         strings, s1, s2 = table["s"].to_pylist(), table["s1"].to_numpy(), table["s2"].to_numpy()
-        found = list(IntervalTree(strings, length).covered(table["low"].to_numpy()))
-        at = np.array([i for i, _ in found], np.int64)
+        some = _sharing(strings, table["key"].to_numpy(), length)
+        found = list(IntervalTree([strings[i] for i in some], length).covered(table["low"].to_numpy()[some])) if len(some) else []
+        at = some[[i for i, _ in found]] if found else some[:0]
         spans = pa.array([[{"b": b, "e": e} for b, e in runs] for _, runs in found], pa.list_(pa.struct([("b", pa.int64()), ("e", pa.int64())])))
         return pa.table({"s1": pa.array(s1[at]), "s2": pa.array(s2[at]), "spans": spans})
 
-    tree = dealt.select("bucket", "s", "s1", "s2", "low").groupBy("bucket").applyInArrow(scan, f"s1 long, s2 long, spans {_SPANS}")
+    tree = dealt.select("bucket", "key", "s", "s1", "s2", "low").groupBy("bucket").applyInArrow(scan, f"s1 long, s2 long, spans {_SPANS}")
     windows = _windows(crowded, length)
     least = windows.groupBy("g1", "g2").agg(F.min("low").alias("least"))
     later = windows.select("s1", "s2", "low", "o", "g1", "g2").join(least, ["g1", "g2"]).filter("least < low")
@@ -359,8 +384,8 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     hit = places.join(fates, ["s1", "s2"]).filter("least > low OR spans IS NOT NULL")
     whole = F.array(F.struct(F.col("pos").alias("b"), (F.col("pos") + F.col("n")).alias("e")))
     shifted = F.transform("spans", lambda x: F.struct((F.col("pos") + x.b).alias("b"), (F.col("pos") + x.e).alias("e")))
-    of_text = hit.select("t1", "t2", F.when(F.col("least") > F.col("low"), whole).otherwise(shifted).alias("spans"))
-    of_text = of_text.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    of_text = hit.select("t1", "least", F.when(F.col("least") > F.col("low"), whole).otherwise(shifted).alias("spans"))
+    of_text = of_text.groupBy("t1", "least").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     @F.arrow_udf(_SPANS)
     def merged(spans: pa.Array) -> pa.Array:
@@ -379,9 +404,9 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         values = pa.StructArray.from_arrays([pa.array(begin[starts]), pa.array(far[stops])], ["b", "e"])
         return pa.ListArray.from_arrays(pa.array(at), values)
 
-    of_text = of_text.select("t1", "t2", merged("spans").alias("spans"))
+    of_text = of_text.select("t1", "least", merged("spans").alias("spans"))
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("b"), F.col("n").alias("e")))
-    known = marks.join(firsts, ["t1", "t2"]).join(of_text, ["t1", "t2"], "left")
+    known = marks.join(firsts, ["t1", "t2"]).join(of_text, ["t1", "least"], "left")
     fate = F.when(F.col("d") > F.col("least"), F.when(F.col("n") >= length, all_of_it)).otherwise(F.col("spans"))
     return known.select("t1", "t2", "d", fate.alias("spans")).filter("spans IS NOT NULL")
 
@@ -393,12 +418,13 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     count as empty, null ids as the largest long; rows of one id do not take from each other. Rows are neither dropped
     nor merged. ``spans`` are the maximal removed runs, empty where nothing goes. An empty table gives an empty result.
     """
-    spans = stage(shared_spans(docs, id_column, text_column, length), "spans")
+    with scope(docs.sparkSession):
+        spans = stage(shared_spans(docs, id_column, text_column, length), "spans", keep=True)
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("d"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
-    ).select("row", "d", *_text_hashes("text"), "text")
-    known = rows.join(spans, ["t1", "t2", "d"], "left").withColumn("bytes", F.encode("text", "UTF-8"))
+    ).select("row", "d", *_text_hashes("text"))
+    known = rows.join(spans, ["t1", "t2", "d"], "left").withColumn("bytes", F.coalesce(F.col("row")[text_column], F.lit("")).cast("binary"))
     between = (
         "transform(sequence(0, size(spans)), i -> hex(substring(bytes, CAST(IF(i = 0, 0, spans[i - 1].e) AS INT) + 1, "
         "CAST(IF(i = size(spans), length(bytes), spans[i].b) - IF(i = 0, 0, spans[i - 1].e) AS INT))))"
