@@ -161,3 +161,77 @@ def test_parser_copes_with_broken_markup():
         html = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
         path = htmltext.proposal(html)
         assert isinstance(htmltext.main_text(html, [path] if path else []), str)
+
+
+# pages with everyday class names, broken pages, planted articles
+
+PROSE = "".join(f"<p>Paragraph {i} of some prose that is long enough to count as an article, with words.</p>" for i in range(3))
+PLAIN = "\n".join(f"Paragraph {i} of some prose that is long enough to count as an article, with words." for i in range(3))
+
+
+def alone(html):
+    path = htmltext.proposal(html)
+    return htmltext.main_text(html, [path] if path else [])
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="page no-sidebar"><article>{}</article></div>', '<main class="single has-comments">{}</main>', '<article class="share-price-news">{}</article>',
+    '<article class="post category-promotion">{}</article>', '<div class="layout-nav-left">{}</div>', '<form id="aspnetForm"><input type="hidden">{}</form>',
+    '<div class="sidebar-wrap"><div>{}</div></div>', '<div class="widget"><main>{}</main></div>', '<header><article>{}</article></header>',
+])
+def test_what_holds_the_article_is_no_noise(around):
+    html = "<html><body><nav><a href=/>Home</a></nav>" + around.format(PROSE) + '<div class="footer-links">About us</div></body></html>'
+    assert alone(html) == PLAIN
+
+
+def test_reader_comments_and_menus_stay_out_however_long():
+    comments = "".join(f"<article class='comment'><p>Reader {i} says rather a lot about this article, more than the article itself.</p></article>" for i in range(9))
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul>"
+    html = f'<body><div class="content">{menu}<h1>Title</h1>{PROSE}<form class="f"><label>Your mail</label><input></form></div><div class="comments-area">{comments}</div></body>'
+    assert alone(html) == "Title\n" + PLAIN
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a b="', "<div>", "<div></p>", "<li>", "<", "<!--", "<script>", "</div>", "<p", "&amp", "<td>", "<select>", "<b a='>"])
+def test_broken_pages_take_linear_time(bad):
+    """A hundred times the page in well under the square of the time; what is in front of the break stays."""
+    import time
+
+    def seconds(n):
+        at = time.perf_counter()
+        alone(PROSE + bad * n)
+        return time.perf_counter() - at
+
+    small = max(seconds(2000), 0.01)
+    assert seconds(200_000) < 1000 * small
+    assert alone(PROSE + bad * 3).startswith(PLAIN)
+
+
+def test_deep_and_long_pages():
+    assert alone("<div>" * 100_000 + PROSE + "</div>" * 100_000) == PLAIN
+    assert alone("<article>" + PROSE * 20_000 + "</article>") == "\n".join([PLAIN] * 20_000)
+    assert alone("a < b and c <3 d<br>e<p>x &lt;y&gt; <b>z</b></p>") == "a < b and c <3 d e\nx <y> z"
+
+
+def test_planted_articles_of_many_hosts(spark):
+    """Templates with noise around and inside; the planted blocks come out, whole and in order, and nothing else."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "sit", "amet", "con") for b in ("em", "um", "or", "is")]
+    noise = ['<nav class="main-nav"><ul><li><a href="/">Home</a></li></ul></nav>', '<div id="cookie-notice">We use cookies on this site</div>', "<aside>Look here</aside>",
+             '<div class="share-buttons"><a>Share</a></div>', '<footer>All rights reserved by us</footer>', "<script>var a = '<p>no</p>';</script>", '<form><input><button>Go</button></form>', "<!-- <p>hidden</p> -->"]
+    wraps = ['<div id="w{}"><div class="entry-content">%s</div></div>', "<main>%s</main>", '<div class="layout-sidebar-right"><article id="p{}">%s</article></div>', "<table><tr><td class=col>%s</td></tr></table>"]
+    rows, want = [], {}
+    for page in range(120):
+        host = page % 4
+        blocks = [" ".join(rng.choice(words) for _ in range(rng.randint(12, 40))) for _ in range(rng.randint(2, 7))]
+        inner = "".join(f"<p>{b.replace(' ', rng.choice([' ', '  ', chr(10)]), 1)}</p>" + (rng.choice(noise[3:8]) if rng.random() < 0.2 else "") for b in blocks)
+        html = "<html><head><title>t</title></head><body>" + noise[0] + noise[1] + (wraps[host] % inner).format(page) + noise[2] + noise[4] + "</body></html>"
+        rows.append((page, f"http://h{host}.org/{page}", html))
+        want[page] = "\n".join(blocks)
+    rows += [(200, "http://h0.org/x", None), (201, None, ""), (202, "no address", PROSE), (0, rows[0][1], rows[0][2])]
+    want |= {200: "", 201: "", 202: PLAIN}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS paths", "3 AS part", "4 AS row", "5 AS text")
+    for sent in (htmltext.SENT_BYTES, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(htmltext, "SENT_BYTES", sent)
+            got = htmltext.extract(pages.repartition(3)).select("row.page_id", "text", "n_chars").collect()
+        assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
