@@ -379,7 +379,8 @@ def shared_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     least = windows.groupBy("g1", "g2").agg(F.min("low").alias("least"))
     later = windows.select("s1", "s2", "low", "o", "g1", "g2").join(least, ["g1", "g2"]).filter("least < low")
     single = later.groupBy("s1", "s2").agg(F.collect_list(F.struct(F.col("o").cast("long").alias("b"), (F.col("o") + length).cast("long").alias("e"))).alias("spans"))
-    spans = tree.unionByName(single)
+    spans = stage(tree.unionByName(single), "string-spans")
+    release(docs.sparkSession)
     fates = distinct.select("s1", "s2", "low", "high").join(spans, ["s1", "s2"], "left").filter("low < high OR spans IS NOT NULL")
     hit = places.join(fates, ["s1", "s2"]).filter("least > low OR spans IS NOT NULL")
     whole = F.array(F.struct(F.col("pos").alias("b"), (F.col("pos") + F.col("n")).alias("e")))
