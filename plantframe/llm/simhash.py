@@ -14,6 +14,8 @@ from .graph import components
 from .words import Words, pieces, text_bytes
 
 BITS = 64
+#: Bytes of text whose shingles are hashed at once.
+PIECE_BYTES = 1 << 18
 #: Bits of the three segments of a fingerprint.
 SEGMENTS = (22, 21, 21)
 #: Fingerprints that differ in at most so many bits are linked; the keys are made for this number.
@@ -35,7 +37,7 @@ def fingerprint(text: Column, words: int = 3, seed: int = 42) -> Column:
 
         data, offsets = text_bytes(texts)
         out = np.zeros(len(texts), np.int64)
-        for low, high in pieces(offsets):
+        for low, high in pieces(offsets, PIECE_BYTES):
             part = Words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
             buffer, starts, ends = part.spaced()
             n_words = np.diff(part.rows)
