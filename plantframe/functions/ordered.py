@@ -59,6 +59,82 @@ def range_frame(
     )
 
 
+def _frame_slices(t: str, before: int, after: int, width: int) -> Column:
+    """Starts of the slices with frames that a row belongs to; two at most, as a slice is as wide as a frame."""
+    first, last = floor_to(F.col(t) - after, width), floor_to(F.col(t) + before, width)
+    return F.array_distinct(F.array(first, floor_to(F.col(t), width), last))
+
+
+def sliding_count(
+    df: DataFrame, keys: Sequence[str], t: str, counted: Column, before_s: float, after_s: float = 0.0, slice_s: float | None = None, name: str = "n",
+) -> DataFrame:
+    """Add the number of counted rows of the same key within [t - before, t + after].
+
+    A counted row enters all frames at one instant and leaves them at another, so the number is a running sum of
+    entries less exits. It takes time in the number of rows, however many a frame holds.
+    """
+    before, after = int(before_s * MICROS), int(after_s * MICROS)
+    width = max(int((slice_s or 0) * MICROS), before + after, 1)
+    empty = F.lit(None).cast(df.schema)
+
+    def event(start: Column, at: Column, n: int, row: Column) -> Column:
+        return F.struct(start.alias("slice"), at.alias("at"), F.lit(n).alias("n"), row.alias("row"))
+
+    enter, leave = F.col(t) - after, F.col(t) + before + 1
+    moves = F.flatten(F.transform(_frame_slices(t, before, after, width), lambda s: F.array(event(s, enter, 1, empty), event(s, leave, -1, empty))))
+    moves = F.when(counted, F.filter(moves, lambda e: e["at"] < e["slice"] + width)).otherwise(F.array().cast(T.ArrayType(T.StructType.fromDDL(f"slice LONG, at LONG, n INT, row {df.schema.simpleString()}"))))
+    asked = F.array(event(floor_to(F.col(t), width), F.col(t), 0, F.struct(*df.columns)))
+    events = df.select(*keys, F.explode(F.concat(asked, moves)).alias("_e"))
+    line = Window.partitionBy(*keys, F.col("_e.slice")).orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("_n", F.sum("_e.n").over(line)).filter("_e.n = 0").select("_e.row.*", F.col("_n").alias(name))
+
+
+def sliding_variance(
+    df: DataFrame, keys: Sequence[str], t: str, value: str, before_s: float, after_s: float = 0.0, slice_s: float | None = None,
+    count: str = "n_window", variance: str = "rolling_var",
+) -> DataFrame:
+    """Add the count and the population variance of the values of the same key within [t - before, t + after].
+
+    Count, sum and sum of squares run as entries less exits, so time is linear in the rows. Values are centred at their
+    slice's mean first; what is left of rounding is of the order of 1e-16 times the slice's sum of squares. Neighbours
+    that differ are counted the same way, so a frame of equal values has the variance zero exactly. A null value is no
+    value; its row gets the frame of the others.
+    """
+    before, after = int(before_s * MICROS), int(after_s * MICROS)
+    width = max(int((slice_s or 0) * MICROS), before + after, 1)
+    own = floor_to(F.col(t), width)
+    copies = df.select(*keys, F.struct(*df.columns).alias("_row"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), own.alias("_own"), F.explode(_frame_slices(t, before, after, width)).alias(SLICE))
+    inside = Window.partitionBy(*keys, SLICE)
+    # only rows with a value have neighbours
+    known = inside.orderBy(F.col("_v").isNull(), "_t")
+    copies = copies.withColumn("_p", F.lag(F.struct("_t", "_v")).over(known)).withColumn("_c", F.avg("_v").over(inside))
+    copies = copies.withColumn("_d", F.col("_v") - F.col("_c"))
+    leave, met = F.col("_t") + before + 1, F.col("_p._t") + before + 1
+    enter = F.col("_t") - after
+    zero, none = F.lit(0), F.lit(0.0)
+
+    def event(at: Column, n: Column, d: Column, changes: Column, row: Column) -> Column:
+        return F.struct(at.alias("at"), n.alias("n"), (n * d).alias("s"), (n * d * d).alias("q"), changes.alias("c"), row.alias("row"))
+
+    no_row = F.lit(None).cast(df.schema)
+    moves = F.array(event(enter, F.lit(1), F.col("_d"), zero, no_row), event(leave, F.lit(-1), F.col("_d"), zero, no_row))
+    # two neighbours that differ are both in a frame from the later one's entry to the earlier one's exit
+    apart = F.array(event(enter, zero, none, F.lit(1), no_row), event(met, zero, none, F.lit(-1), no_row))
+    asked = F.array(event(F.col("_t"), zero, none, zero, F.col("_row")))
+    nothing = F.filter(asked, lambda e: F.lit(False))
+    events = F.concat(
+        F.when(F.col("_v").isNotNull(), moves).otherwise(nothing),
+        F.when((F.col("_p._v") != F.col("_v")) & (met > enter), apart).otherwise(nothing),
+        F.when(F.col(SLICE) == F.col("_own"), asked).otherwise(nothing),
+    )
+    events = copies.select(*keys, SLICE, F.explode(F.filter(events, lambda e: e["at"] < F.col(SLICE) + width)).alias("_e"))
+    line = inside.orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    run = events.select(F.col("_e.row").alias("_row"), *[F.sum(f"_e.{c}").over(line).alias(f"_{c}") for c in "nsqc"]).filter("_row IS NOT NULL")
+    mean = F.col("_s") / F.col("_n")
+    spread = F.when(F.col("_n") == 0, F.lit(None)).when(F.col("_c") == 0, 0.0).otherwise(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
+    return run.select("_row.*", F.col("_n").alias(count), spread.alias(variance))
+
+
 def _carry(
     df: DataFrame, keys: Sequence[str], summary: Column, over_previous, name: str
 ) -> DataFrame:

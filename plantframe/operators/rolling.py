@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import MICROS
-from ..functions.ordered import cooldown, range_frame
+from ..functions.ordered import cooldown, sliding_count, sliding_variance
 from ..session import stage
 from .intervals import points_in_windows
 
@@ -35,14 +35,7 @@ def rolling_variance(
     Null values neither count nor get a row.
     """
     known = readings.filter(F.col("value").isNotNull())
-    return range_frame(
-        known,
-        keys,
-        t,
-        {"n_window": F.count("value"), "rolling_var": F.var_pop("value")},
-        before_s=window_s,
-        slice_s=slice_s,
-    )
+    return sliding_variance(known, keys, t, "value", window_s, slice_s=slice_s)
 
 
 def candidates(rolled: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,15 +79,7 @@ def candidates(rolled: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> D
 def promote(alerts: DataFrame, series: str, within_s: float, slice_s: float | None = None) -> DataFrame:
     """Collapse alerts with at least two others of the series nearby become cross-layer alerts."""
     is_collapse = F.col("alert_type") == COLLAPSE
-    counted = range_frame(
-        alerts,
-        [series],
-        "t_us",
-        {"_near": F.count(F.when(is_collapse, F.lit(1)))},
-        before_s=within_s,
-        after_s=within_s,
-        slice_s=slice_s,
-    )
+    counted = sliding_count(alerts, [series], "t_us", is_collapse, within_s, within_s, slice_s, "_near")
     promoted = is_collapse & (F.col("_near") - 1 >= PROMOTE_OTHERS)
     return counted.withColumn(
         "alert_type", F.when(promoted, CROSS).otherwise(F.col("alert_type"))

@@ -142,3 +142,42 @@ def test_null_keys_are_keys(spark):
         filled = {r.row_id: r.f for r in ordered.carry_forward(df, ["k"], "t_us", "row_id", "v", slice_s, "f").collect()}
         assert filled == {0: 1.0, 1: 2.0, 2: 1.0, 3: 2.0, 4: 3.0}
         assert sorted(r.row_id for r in ordered.first_rows(df, ["k"], "t_us", "row_id", F.lit(2), slice_s).collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("slice_s", [None, 1, 90, 4000])
+@pytest.mark.parametrize("before, after", [(60, 0), (20, 35)])
+def test_sliding_frames(spark, slice_s, before, after):
+    """Against plain loops: ties, gaps, constant stretches, nulls in value and key."""
+    rng = np.random.default_rng(12)
+    rows, t = [], 0
+    for i in range(500):
+        t += int(rng.choice([0, 1, 7, 40, 300])) * 1_000_000 // 2
+        v = 5.0 if 100 < i < 160 else float(rng.normal(1000, 3))
+        rows.append((i, [None, "a", "b"][i % 3], t, None if i % 17 == 0 else v))
+    df = spark.createDataFrame(rows, "id long, k string, t_us long, value double").repartition(4)
+    got = {r.id: r for r in ordered.sliding_variance(df, ["k"], "t_us", "value", before, after, slice_s).collect()}
+    counts = {r.id: r.n for r in ordered.sliding_count(df, ["k"], "t_us", F.col("value") > 1000, before, after, slice_s).collect()}
+    assert len(got) == len(counts) == len(rows)
+    for i, k, t, _ in rows:
+        frame = [v for _, k2, t2, v in rows if k2 == k and t - before * 1_000_000 <= t2 <= t + after * 1_000_000 and v is not None]
+        assert got[i].n_window == len(frame) and counts[i] == sum(v > 1000 for v in frame)
+        if not frame:
+            assert got[i].rolling_var is None
+        elif len(set(frame)) == 1:
+            assert got[i].rolling_var == 0.0
+        else:
+            assert abs(got[i].rolling_var - np.var(frame)) < 1e-9 * max(1, np.var(frame))
+
+
+def test_sliding_frames_take_linear_time(spark):
+    """Twenty times as many rows in the same time take well under the square of that."""
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("id", "id % 2 AS k", f"id * {3_600_000_000 // n} AS t_us", "CAST(id % 97 AS DOUBLE) AS value")
+        at = time.perf_counter()
+        ordered.sliding_variance(df, ["k"], "t_us", "value", 1800).agg(F.sum("n_window"), F.sum("rolling_var")).collect()
+        return time.perf_counter() - at
+
+    seconds(1000)
+    assert seconds(400_000) < 60 * max(seconds(20_000), 0.3)
