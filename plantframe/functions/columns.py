@@ -193,8 +193,8 @@ def one_value(one_row: DataFrame, *cols: str) -> Column:
     return one_row.select(F.struct(*(cols or one_row.columns)).alias("v")).scalar()
 
 
-#: Rows up to which a table may be sent to every task.
-FEW_ROWS = 100_000
+#: Bytes, as JSON text, up to which a table may be sent to every task.
+SENT_BYTES = 16 << 20
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -204,9 +204,15 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(right.withColumnsRenamed(own), same, how).drop(*own.values())
 
 
+def sized(written: DataFrame) -> DataFrame:
+    """A written table, marked to be sent to every task if it is measured to be small."""
+    text = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in written.columns])))
+    size = written.agg(F.coalesce(F.sum(text), F.lit(0))).first()[0]
+    return F.broadcast(written) if size <= SENT_BYTES else written
+
+
 def few(df: DataFrame, label: str) -> DataFrame:
-    """A table that is written once and sent to every task if it has few rows; otherwise it is joined as any other."""
+    """A table that is written once and sent to every task if it is small; otherwise it is joined as any other."""
     from ..session import stage
 
-    written = stage(df, label)
-    return F.broadcast(written) if written.limit(FEW_ROWS + 1).count() <= FEW_ROWS else written
+    return sized(stage(df, label))

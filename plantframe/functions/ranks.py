@@ -7,59 +7,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import few, join_keys
+from ..session import stage
+from .columns import few, join_keys, sized
 
-ACCURACY = 10_000
+#: Bins that the range of a wanted rank is cut into in each round.
+BINS = 4096
+
+
+def _bin(x: Column, low: Column, high: Column, by_size: bool) -> Column:
+    """Number of the bin of a value between low and high, in the order of the values.
+
+    Bins are equal parts of the range, or, ``by_size``, of the range of logarithms if that is wide, and of the signs if
+    the range holds zero. Infinite ends have bins of their own, and NaN, which sorts last.
+    """
+    ends = F.when(F.isnan(x), 3).when(x == float("inf"), 2).when(x == float("-inf"), 0).otherwise(1)
+    width = high / 2 - low / 2
+    equal = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((x / 2 - low / 2) / width * BINS))).otherwise((x > low).cast("long"))
+    whole = F.isnan(low) | F.isnan(high) | (F.abs(low) == float("inf")) | (F.abs(high) == float("inf"))
+    if by_size:
+        small, large = F.least(F.abs(low), F.abs(high)), F.greatest(F.abs(low), F.abs(high))
+        span = F.log(large) - F.log(small)
+        steps = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.log(F.abs(x)) - F.log(small)) / span * BINS)))
+        by_log = F.when(low > 0, steps).otherwise(-steps)
+        wide = (low > 0) & (high > low * 16) | (high < 0) & (low < high * 16)
+        equal = F.when((low <= 0) & (high >= 0), F.signum(x).cast("long")).when(wide, by_log).otherwise(equal)
+    return F.when(whole, ends).otherwise(equal).cast("long")
+
+
+def _percentile(data: DataFrame, keys: Sequence[str], q: float, name: str) -> DataFrame:
+    """Percentile per group of values ``_x`` that stand for ``_w`` rows each, by radix selection.
+
+    Each round counts the bins of the range that holds the wanted rank and goes on with one bin, between the smallest
+    and the largest value in it, until these are equal. Counting combines in every task; no task sees more of a group
+    than its bins, and rows are never ordered.
+    """
+    data = stage(data, "values")
+    position = F.lit(q) * (F.col("n") - 1)
+    ranked = data.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.sum("_w").alias("n"))
+    state = stage(ranked.select(*keys, "lo", "hi", F.floor(position).alias("rank"), (position - F.floor(position)).alias("part"), F.lit(0).cast("long").alias("before")), "ranks")
+    turn = 0
+    while not state.filter("lo < hi").isEmpty():
+        parts = F.struct("lo", "hi", "rank", "part", "before").alias("_s")
+        open_ = sized(state.filter("lo < hi").select(*keys, parts))
+        inside = join_keys(data, open_, keys).filter(F.col("_x").between(F.col("_s.lo"), F.col("_s.hi")))
+        number = _bin(F.col("_x"), F.col("_s.lo"), F.col("_s.hi"), turn % 2 == 1)
+        counted = inside.groupBy(*keys, number.alias("_b")).agg(F.sum("_w").alias("_c"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.first("_s").alias("_s"))
+        line = Window.partitionBy(*keys).orderBy("_b")
+        upto = counted.withColumn("_upto", F.col("_s.before") + F.sum("_c").over(line))
+        holding = upto.filter((F.col("_upto") > F.col("_s.rank")) & (F.col("_upto") - F.col("_c") <= F.col("_s.rank")))
+        narrowed = holding.select(*keys, "lo", "hi", "_s.rank", "_s.part", (F.col("_upto") - F.col("_c")).alias("before"))
+        state = stage(narrowed.unionByName(state.filter("NOT lo < hi")), "ranks")
+        turn += 1
+    # the value at the rank is found; the next one is the same if it repeats, else the smallest above it
+    found = sized(state.select(*keys, F.struct("lo", "rank", "part", "before").alias("_s")))
+    after = join_keys(data, found, keys).filter(F.col("_x") >= F.col("_s.lo"))
+    ends = after.groupBy(*keys).agg(
+        F.first("_s").alias("_s"), F.sum(F.when(F.col("_x") == F.col("_s.lo"), F.col("_w"))).alias("_c"), F.min(F.when(F.col("_x") > F.col("_s.lo"), F.col("_x"))).alias("_z"),
+    )
+    same = (F.col("_s.part") == 0) | (F.col("_s.before") + F.col("_c") > F.col("_s.rank") + 1)
+    low, part = F.col("_s.lo"), F.col("_s.part")
+    return ends.select(*keys, F.when(same, low).otherwise(low * (1 - part) + F.col("_z") * part).alias(name))
 
 
 def exact_percentile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, name: str
 ) -> DataFrame:
-    """Linear-interpolated percentile per group, as ``percentile`` gives it.
+    """Linear-interpolated percentile per group, as ``percentile`` gives it; null values don't count.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here a bounded sketch first
-    brackets the wanted rank within its guaranteed error; only the values inside the bracket are
-    then counted one by one, everything below it as a single number.
+    ``percentile`` keeps every distinct value of a group in one task; this counts bins in rounds instead.
     """
-    data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    # half widths of the bracket; it must hold the sketch's error and two ranks more on either side
-    widths = [3.0 / ACCURACY, 0.001, 0.01, 0.1]
-    sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("_x", [min(1.0, max(0.0, q + s * w)) for w in widths for s in (-1, 1)], ACCURACY).alias("_b"),
-        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.count(F.lit(1)).alias("_n"),
-    )
-    needed = 1.0 / ACCURACY + 2.0 / F.col("_n")
-    low, high = F.col("_min"), F.col("_max")
-    for i, w in reversed(list(enumerate(widths))):
-        low = F.when((needed <= w) & F.lit(q - w > 0), F.col("_b")[2 * i]).otherwise(low)
-        high = F.when((needed <= w) & F.lit(q + w < 1), F.col("_b")[2 * i + 1]).otherwise(high)
-    bracket = sketch.select(*keys, "_n", low.alias("_lo"), high.alias("_hi"))
-    marked = join_keys(data, few(bracket, "bracket"), keys)
-    counted = (
-        marked.withColumn("_below", F.col("_x") < F.col("_lo"))
-        .filter(F.col("_x") <= F.col("_hi"))
-        .groupBy(*keys, "_below", F.when(~F.col("_below"), F.col("_x")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    )
-    line = Window.partitionBy(*keys)
-    ranked = (
-        counted.withColumn("_upto", F.sum("_c").over(line.orderBy(F.col("_v").asc_nulls_first())))
-        .withColumn("_pos", F.lit(q) * (F.col("_n") - 1))
-        .filter(~F.col("_below"))
-    )
-    # value at 0-based rank r is the first one whose cumulative count exceeds r
-    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col("_v")))
-    picked = ranked.groupBy(*keys).agg(
-        at(F.floor("_pos")).alias("_a"),
-        at(F.ceil("_pos")).alias("_z"),
-        F.first(F.col("_pos") - F.floor("_pos")).alias("_f"),
-    )
-    return picked.select(
-        *keys,
-        F.when(F.col("_f") == 0, F.col("_a"))
-        .otherwise(F.col("_a") * (1 - F.col("_f")) + F.col("_z") * F.col("_f"))
-        .alias(name),
-    )
+    data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"), F.lit(1).cast("long").alias("_w"))
+    return _percentile(data, keys, q, name)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -151,23 +169,6 @@ def running_total(
 def weighted_percentile(
     df: DataFrame, keys: Sequence[str], value: str, weight: str, q: float, name: str
 ) -> DataFrame:
-    """Linear-interpolated percentile of values that stand for ``weight`` rows each."""
-    known = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_x"))
-        .agg(F.sum(weight).alias("_w"))
-    )
-    placed = running_total(known, keys, "_x", ["_w"])
-    totals = known.groupBy(*keys).agg((F.lit(q) * (F.sum("_w") - 1)).alias("_pos"))
-    upto = F.col("before__w") + F.col("_w")
-    at = lambda rank: F.min(F.when(upto > rank, F.col("_x")))
-    picked = placed.join(totals, list(keys)).groupBy(*keys).agg(
-        at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_z"),
-        F.first(F.col("_pos") - F.floor("_pos")).alias("_f"),
-    )
-    return picked.select(
-        *keys,
-        F.when(F.col("_f") == 0, F.col("_a"))
-        .otherwise(F.col("_a") * (1 - F.col("_f")) + F.col("_z") * F.col("_f"))
-        .alias(name),
-    )
+    """Linear-interpolated percentile of values that stand for ``weight`` rows each; null values don't count."""
+    known = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    return _percentile(known.select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).cast("long").alias("_w")), keys, q, name)
