@@ -73,10 +73,10 @@ class Hashing:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """``id`` and ``v`` (array of double) of the vectors that take part: with an id, of the commonest length, all
-    components finite and not all zero."""
+    """``id`` and ``v`` (array of double) of the vectors that take part: with an id, of the commonest length (of
+    several, the smallest), all components finite and not all zero."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    size = rows.agg(F.mode(F.size("v"))).first()[0]
+    size = rows.agg(F.mode(F.size("v"), True)).first()[0]
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.filter((F.size("v") == F.lit(size)) & ~bad & F.exists("v", lambda x: x != 0))
 
@@ -92,7 +92,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of rows in double precision, the same for the same two vectors wherever they stand."""
+    """Cosine of each pair of rows in double precision, the same for the same two vectors wherever they stand.
+
+    Rows are scaled by powers of two, so that no square of a very large or small component is lost.
+    """
+    a, b = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (a, b))
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 

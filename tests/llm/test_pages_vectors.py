@@ -235,3 +235,15 @@ def test_planted_articles_of_many_hosts(spark):
             m.setattr(htmltext, "SENT_BYTES", sent)
             got = htmltext.extract(pages.repartition(3)).select("row.page_id", "text", "n_chars").collect()
         assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
+def test_sizes_of_vectors(spark):
+    """Very large and small components score like others; of two lengths as common, the shorter one takes part."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 4))
+    rows = [(i, [float(c) for c in r * 10.0 ** [0, 200, -200][i % 3]]) for i, r in enumerate(v)] + [(100 + i, [float(i)] * 5) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id < 3"), k=30).collect()
+    assert len(got) == 3 * 29
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert all(abs(r.score - unit[r.query_id] @ unit[r.vec_id]) < 1e-12 for r in got)
