@@ -11,7 +11,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -253,11 +253,6 @@ def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, ou
     return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df).transform(df)
 
 
-def hierarchical(df: DataFrame, k: int, features: str = "features", seed: int = 42, out: str = "cluster") -> DataFrame:
-    """Clusters split top-down."""
-    return BisectingKMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df).transform(df)
-
-
 # ---- quality ---------------------------------------------------------------------------------
 
 
