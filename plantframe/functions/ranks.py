@@ -115,54 +115,19 @@ def split_by_rank(
     return join_keys(df, few(cut, "cut"), keys, "left").select(*[F.col(c) for c in df.columns], marked.alias(name))
 
 
-def _cut_points(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
-    """Approximate quantiles per key, fixed once so that every use of them agrees.
-
-    One row of ``parts - 1`` numbers per key; keys are feature names, so this is small.
-    """
-    spark = df.sparkSession
-    shares = [i / parts for i in range(1, parts)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(value, shares, 8 * parts).alias("_cuts"))
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
-
-
-def running_total(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    measures: Sequence[str],
-    parts: int = 256,
-    prefix: str = "before_",
-) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str], prefix: str = "before_") -> DataFrame:
     """Add, per measure, its sum over the rows of the key with a smaller value.
 
-    ``df`` holds one row per key and value. The line of values is cut into parts of about equal size;
-    parts are summed first, then each part is ordered on its own. ``parts`` is a power of two.
+    ``df`` holds one row per key and value. Spark deals the rows out by ranges of key and value, and they are written
+    as dealt; ranges are summed first, then each one is ordered on its own. A key of any size spreads over ranges.
     """
-    if parts < 2 or parts & (parts - 1):
-        raise ValueError("parts must be a power of two")
-    cuts = _cut_points(df, keys, value, parts)
-    binned = df.join(F.broadcast(cuts), list(keys)).withColumn("_part", F.lit(0))
-    step = parts // 2
-    while step:  # binary search for the number of cut points below the value
-        below = F.col("_cuts")[F.col("_part") + (step - 1)] < F.col(value)
-        binned = binned.withColumn("_part", F.col("_part") + F.when(below, step).otherwise(0))
-        step //= 2
-    binned = binned.drop("_cuts")
+    ranged = stage(df.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in measures])
     line = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = binned.groupBy(*keys, "_part").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = sums.select(
-        *keys, "_part", *[F.coalesce(F.sum(m).over(line), F.lit(0)).alias(f"_o_{m}") for m in measures]
-    )
-    inside = (
-        Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return binned.join(offsets, [*keys, "_part"]).select(
-        *df.columns,
-        *[
-            (F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(prefix + m)
-            for m in measures
-        ],
+    offsets = sums.select(*keys, "_part", *[F.coalesce(F.sum(m).over(line), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return join_keys(ranged, offsets, [*keys, "_part"]).select(
+        *df.columns, *[(F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(prefix + m) for m in measures]
     )
 
 

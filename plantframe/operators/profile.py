@@ -9,12 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import one_value
+from ..functions.columns import few, join_keys, one_value
 from ..functions.ranks import running_total
 from ..session import stage
 
@@ -78,25 +80,24 @@ def top_variance(df: DataFrame, cols: Sequence[str], n: int = 20) -> DataFrame:
 
 
 def histogram(df: DataFrame, cols: Sequence[str], label: str, bins: int) -> DataFrame:
-    """Density per class over equal bins of that class's own range, the last bin closed."""
-    long = df.select(label, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
-        [label], list(cols), "feature", "x"
-    ).filter("x IS NOT NULL")
-    limits = long.groupBy(label, "feature").agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total")
-    )
-    # a constant feature gets a unit range around its value
-    lo = F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5)
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0 / bins)
-    binned = long.join(limits, [label, "feature"]).select(
-        label, "feature", "total", width.alias("width"),
-        F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)).cast("int").alias("bin"),
-    )
-    return (
-        binned.groupBy(label, "feature", "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("width").alias("width"))
-        .select(label, "feature", "bin", "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density"))
-    )
+    """Density per class over equal bins of that class's own range, the last bin closed; null values don't count.
+
+    Limits are one row for each class. Rows meet them as they are, and tasks count their bins: only bins are shuffled.
+    """
+    x = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    limits = df.groupBy(label).agg(*[F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(v).alias("total")).alias(f"_l{i}") for i, v in enumerate(x.values())])
+    met = join_keys(df.select(label, *[v.alias(c) for c, v in x.items()]), few(limits, "limits"), [label])
+    each = []
+    for i, c in enumerate(cols):
+        low, high, value = F.col(f"_l{i}.lo"), F.col(f"_l{i}.hi"), F.col(f"`{c}`")
+        # a constant feature gets a unit range around its value
+        start = F.when(high > low, low).otherwise(low - 0.5)
+        width = F.when(high > low, (high - low) / bins).otherwise(1.0 / bins)
+        number = F.least(F.floor((value - start) / width), F.lit(bins - 1)).cast("int")
+        each.append(F.when(value.isNotNull(), F.struct(F.lit(c).alias("feature"), number.alias("bin"), F.col(f"_l{i}.total").alias("total"), width.alias("width"))))
+    counted = met.select(label, F.explode(F.array_compact(F.array(*each))).alias("_b")).groupBy(label, "_b.feature", "_b.bin")
+    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.first("_b.total").alias("total"), F.first("_b.width").alias("width"))
+    return counted.select(label, "feature", "bin", "n", (F.col("n") / (F.col("total") * F.col("width"))).alias("density"))
 
 
 def density_over_time(alerts: DataFrame, elapsed: str, kind: str, edges: int = 100) -> DataFrame:
@@ -118,20 +119,36 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, each over the rows where both are known."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias("r")
-                )
-                for a, b in pairs
-            ]
-        ).alias("_all")
-    ).select(F.explode("_all").alias("p")).select("p.*")
-    return one.unionByName(
-        one.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "r")
+    """Pearson correlation of every pair, each over the rows where both are known; null without spread.
+
+    One pass finds the means, a second one sums for blocks of rows the products of centred values, their squares and
+    what is present, for all pairs at once as products of matrices. Nulls and NaN are missing values.
+    """
+    wide = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)])
+    middle = np.array([v or 0.0 for v in wide.agg(*[F.avg(c) for c in wide.columns]).first()])
+    names = ("n", "sa", "sb", "qa", "qb", "p")
+
+    def products(batches):
+        total = np.zeros((len(names), len(middle), len(middle)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x - middle, 0.0), there.astype(float)
+            s, q = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(middle)), pa.int32())] + [pa.array(list(t), pa.list_(pa.float64())) for t in total], ["i", *names])
+
+    parts = wide.mapInArrow(products, "i int, " + ", ".join(f"{n} array<double>" for n in names))
+    sums = parts.select("i", F.posexplode(F.arrays_zip(*names)).alias("j", "v")).groupBy("i", "j").agg(*[F.sum(f"v.{n}").alias(n) for n in names])
+    ends = F.array(*[F.lit(float(v)) for v in middle])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    spread = {k: F.col(f"q{k}") / n - (F.col(f"s{k}") / n) * (F.col(f"s{k}") / n) for k in "ab"}
+    # what rounding of the mean leaves of a constant column is no spread
+    varies = [spread[k] > F.pow(F.get(ends, F.col(i)) * 1e-14, 2) for k, i in (("a", "i"), ("b", "j"))]
+    r = (F.col("p") / n - F.col("sa") / n * F.col("sb") / n) / F.nullif(F.sqrt(F.greatest(spread["a"] * spread["b"], F.lit(0.0))), F.lit(0.0))
+    title = F.array(*[F.lit(c) for c in cols])
+    return sums.select(
+        F.get(title, F.col("i")).alias("a"), F.get(title, F.col("j")).alias("b"), F.when(varies[0] & varies[1], F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r")
     )
 
 
@@ -229,7 +246,7 @@ def _chi2_tail(x: float, dof: int) -> float | None:
 
 
 def mann_whitney(
-    df: DataFrame, cols: Sequence[str], is_attack: Column, n: int = 20, least: int = 5, parts: int = 256
+    df: DataFrame, cols: Sequence[str], is_attack: Column, n: int = 20, least: int = 5
 ) -> DataFrame:
     """Rank comparison of two parts per feature: U, effect |2U/(n1 n0) - 1| and the two-sided p-value.
 
@@ -243,7 +260,7 @@ def mann_whitney(
         .groupBy("feature", "v")
         .agg(F.sum("_a").alias("n1"), F.sum(1 - F.col("_a")).alias("n0"))
     )
-    placed = running_total(stage(counts, "value-counts"), ["feature"], "v", ["n0"], parts)
+    placed = running_total(stage(counts, "value-counts"), ["feature"], "v", ["n0"])
     ties = (F.col("n1") + F.col("n0")).cast("double")
     sums = placed.groupBy("feature").agg(
         F.sum(F.col("n1") * (F.col("before_n0") + F.col("n0") / 2.0)).alias("u"),

@@ -47,7 +47,7 @@ def test_mann_whitney_by_brute_force(spark):
     rng = np.random.default_rng(2)
     a, b = rng.integers(0, 9, 40).astype(float), rng.integers(2, 12, 30).astype(float)
     df = spark.createDataFrame([(v, 1) for v in a.tolist()] + [(v, 0) for v in b.tolist()], "x double, y int")
-    r = profile.mann_whitney(df, ["x"], F.col("y") == 1, parts=8).first()
+    r = profile.mann_whitney(df, ["x"], F.col("y") == 1).first()
     u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
     _, ties = np.unique(np.concatenate([a, b]), return_counts=True)
     n = 70
@@ -175,3 +175,31 @@ def test_neighbours_in_blocks_far_from_the_origin(spark, monkeypatch):
     assert [got[i] for i in range(40)] == pytest.approx(np.sort(d, axis=1)[:, 3].tolist(), rel=1e-6)
     names = {r.row_id: r.cluster for r in cluster.nearest_label(df, "x", sample, "label").collect()}
     assert [names[i] for i in range(40)] == [int(j) % 3 for j in d.argmin(1)]
+
+
+def test_correlation_of_many_columns_in_one_pass(spark):
+    """Pairwise-complete against pandas: nulls, NaN, a constant, a column far from zero, one without values."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12))
+    x[:, 3], x[:, 4] = 7.1, x[:, 4] * 1e-3 + 1e6
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(12)])
+    pdf = pdf.mask(rng.random(pdf.shape) < 0.2)
+    pdf["f5"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), ", ".join(f"f{i} double" for i in range(12))).repartition(5)
+    df = df.withColumn("f6", F.coalesce("f6", F.lit(float("nan"))))
+    want = pdf.corr(min_periods=2)
+    got = {(r.a, r.b): r.r for r in profile.correlation(df, list(pdf.columns)).collect()}
+    assert len(got) == 144
+    for (a, b), r in got.items():
+        w = want.loc[a, b]
+        assert (r is None and (np.isnan(w) or "f3" in (a, b))) or abs(r - w) < 1e-8, (a, b, r, w)
+
+
+def test_histogram_of_odd_columns(spark):
+    """Null labels and values, a constant, a column without values."""
+    rows = [("a", 1.0, 5.0, None), ("a", 3.0, 5.0, None), ("a", None, 5.0, None), (None, 2.0, 1.0, None), (None, 2.5, 2.0, None)]
+    df = spark.createDataFrame(rows, "y string, u double, v double, w double")
+    got = {(r.y, r.feature, r.bin): (r.n, round(r.density, 9)) for r in profile.histogram(df, ["u", "v", "w"], "y", 4).collect()}
+    assert got == {
+        ("a", "u", 0): (1, 1.0), ("a", "u", 3): (1, 1.0), ("a", "v", 2): (3, 4.0), (None, "u", 0): (1, 4.0), (None, "u", 3): (1, 4.0), (None, "v", 0): (1, 2.0), (None, "v", 3): (1, 2.0),
+    }

@@ -53,7 +53,7 @@ def test_weighted_percentile(spark):
 
 def test_running_total(spark):
     df = spark.range(1000).select(F.lit("f").alias("k"), (F.col("id") * 37 % 1000).cast("double").alias("v"), (F.col("id") % 5).alias("n"))
-    got = ranks.running_total(df, ["k"], "v", ["n"], 8).toPandas().sort_values("v")
+    got = ranks.running_total(df, ["k"], "v", ["n"]).toPandas().sort_values("v")
     np.testing.assert_array_equal(got["before_n"], got["n"].cumsum() - got["n"])
 
 
