@@ -250,7 +250,20 @@ def kmeans_scan(df: DataFrame, ks: Sequence[int], features: str = "features", se
 
 
 def kmeans(df: DataFrame, k: int, features: str = "features", seed: int = 42, out: str = "cluster") -> DataFrame:
-    return KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df).transform(df)
+    return kmeans_centres(df, k, features, seed, out)[0]
+
+
+def kmeans_centres(df: DataFrame, k: int, features: str = "features", seed: int = 42, out: str = "cluster") -> tuple[DataFrame, np.ndarray]:
+    """Rows with their cluster, and the centres, at most k."""
+    model = KMeans(k=k, seed=seed, featuresCol=features, predictionCol=out).fit(df)
+    return model.transform(df), np.array(model.clusterCenters())
+
+
+def centre_distances(rows: DataFrame, centres: np.ndarray, features: str = "features", cluster: str = "cluster") -> DataFrame:
+    """Rows with the squared distances to their own centre, ``own2``, and to the nearest one, ``least2``."""
+    x = vector_to_array(features)
+    each = F.array(*[_distance2(x, F.array(*[F.lit(float(v)) for v in c])) for c in centres])
+    return rows.withColumn("_d", each).withColumn("own2", F.get("_d", F.col(cluster))).withColumn("least2", F.array_min("_d")).drop("_d")
 
 
 # ---- quality ---------------------------------------------------------------------------------
