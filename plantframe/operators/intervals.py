@@ -1,7 +1,9 @@
 """Joins of instants, buckets and runs with intervals.
 
-An interval is cut into the grid cells it touches and joined on the cell, so both sides may be large:
-there is always an equality to hash on, and a crowded cell is split by adaptive skew handling.
+Grids of doubling widths stand over each other. An interval lies in the finest grid whose cells are at least as long as
+it is, so it touches two cells at most, however long it is; an instant looks into its cell of every grid that intervals
+use. There is always an equality to hash on, so both sides may be large, and a crowded cell is split by adaptive skew
+handling.
 """
 
 from __future__ import annotations
@@ -14,15 +16,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import MICROS, floor_to, one_value
 from ..functions.ordered import carry_forward
 
-CELL = "_cell"
+CELL, GRID = "_cell", "_grid"
+#: Grids over the finest one.
+GRIDS = 60
 
 
-def cells(start: Column, end: Column, width_us: int) -> Column:
-    """The grid cells an interval touches; none if it is empty."""
-    return F.when(
-        end >= start,
-        F.sequence(floor_to(start, width_us), floor_to(end, width_us), F.lit(width_us)),
-    )
+def grid_cells(windows: DataFrame, start: str, end: str, width_us: int) -> DataFrame:
+    """Intervals with the number of their grid and each of the cells they touch there; an empty interval has none."""
+    length = F.col(end) - F.col(start)
+    # the shortest doubled width above the length, without logarithms that round
+    widths = F.array(*[F.lit(width_us << i) for i in range(GRIDS) if width_us << i < 1 << 62])
+    grid = F.size(F.filter(widths, lambda w: w <= length))
+    gridded = windows.filter(length >= 0).withColumn(GRID, grid).withColumn("_w", F.get(widths, F.col(GRID)))
+    touched = [F.col(c) - F.pmod(F.col(c), F.col("_w")) for c in (start, end)]
+    return gridded.withColumn(CELL, F.explode(F.array_distinct(F.array(*touched)))).drop("_w")
 
 
 def points_in_windows(
@@ -36,15 +43,21 @@ def points_in_windows(
 ) -> DataFrame:
     """Every pair of an instant and a window that holds it, both ends included.
 
-    One row per pair; columns of both sides.
+    One row per pair; columns of both sides. ``cell_s`` is the width of the finest grid, about the length of the
+    shortest windows. An instant is copied once for each grid in use, of which there are as many as doublings between
+    the shortest and the longest window at most.
     """
     width = cell_s * MICROS
-    grid = windows.withColumn(CELL, F.explode(cells(F.col(start), F.col(end), width)))
+    placed = grid_cells(windows, start, end, width)
+    used = sorted(r[0] for r in placed.select(GRID).distinct().collect())  # a number below GRIDS each
+    if not used:
+        return points.join(windows, F.lit(False))
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias(GRID), (F.col(t) - F.pmod(F.col(t), F.lit(width << i))).alias(CELL)) for i in used]))
     return (
-        points.withColumn(CELL, floor_to(F.col(t), width))
-        .join(grid, [*on, CELL])
+        points.withColumn("_at", own).select(*points.columns, F.col(f"_at.{GRID}"), F.col(f"_at.{CELL}"))
+        .join(placed, [*on, GRID, CELL])
         .filter(F.col(t).between(F.col(start), F.col(end)))
-        .drop(CELL)
+        .drop(GRID, CELL)
     )
 
 
@@ -71,9 +84,10 @@ def best_overlap(
     edges in microseconds.
     """
     width = width_s * MICROS
-    touched = windows.select(
-        start, end, label, order, F.explode(cells(F.col(start), F.col(end), width)).alias("_us")
-    ).select("*", (F.col("_us") / F.lit(MICROS)).cast("long").alias(bucket))
+    # a bucket touches a window if it begins in the window or less than its own width in front of it
+    reach = windows.select(start, end, label, order, (F.col(start) - (width - 1)).alias("_from")).filter(F.col(end) >= F.col(start))
+    asked = buckets.select(bucket).distinct().withColumn("_us", F.col(bucket).cast("long") * MICROS)
+    touched = points_in_windows(asked, "_us", reach, "_from", end, width_s)
     overlap = F.least(F.col("_us") + width, F.col(end)) - F.greatest(F.col("_us"), F.col(start))
     share = overlap / F.lit(float(width))
     best = (

@@ -1,5 +1,6 @@
 """Rules at their edges, window labels, scores and specifications."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,18 @@ def test_extracted_text(spark):
     assert [(r.tag, r.min_val, r.max_val, r.confidence) for r in t] == [("A", 0.0, 4.0, 0.85)]
     assert [(r.loop_id, r.confidence, r.has_saturation) for r in ls.collect()] == [("L", 0.75, False)]
     assert [r.spec for r in unread.collect()] == ["bad"]
+
+
+def test_points_in_windows_of_all_lengths(spark):
+    """Against plain loops; a window of a year costs two rows as a window of a second does."""
+    rng = np.random.default_rng(6)
+    second = 1_000_000
+    spans = [(i, int(a), int(a) + int(10 ** rng.uniform(0, 13.5))) for i, a in enumerate(rng.integers(-(10**13), 10**13, 80))]
+    spans += [(90, 5 * second, 5 * second), (91, 7 * second, 6 * second), (92, 0, 4 * second - 1), (93, None, 5), (94, -(10**15), 10**15)]
+    points = [(i, int(v)) for i, v in enumerate([*rng.integers(-(10**13), 10**13, 300), *[s for _, s, _ in spans if s is not None], *[e for _, _, e in spans]])]
+    w = spark.createDataFrame(spans, "win long, s long, e long")
+    p = spark.createDataFrame(points, "id long, t long").repartition(3)
+    got = sorted((r.id, r.win) for r in intervals.points_in_windows(p, "t", w, "s", "e", 1).collect())
+    assert got == sorted((i, j) for i, t in points for j, s, e in spans if s is not None and s <= t <= e)
+    assert intervals.grid_cells(w, "s", "e", second).groupBy("win").count().agg(F.max("count")).first()[0] <= 2
+    assert intervals.points_in_windows(p, "t", w.limit(0), "s", "e", 1).count() == 0
