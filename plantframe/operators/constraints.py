@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import general
 from ..functions.ordered import previous_row
@@ -429,10 +431,24 @@ def violation_counts(violations: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def custom_rule(
-    readings: DataFrame, keys: Sequence[str], rule: Callable, schema: str
+    readings: DataFrame, keys: Sequence[str], rule: Callable, schema: str, on_error: str = "raise"
 ) -> DataFrame:
     """A free-form rule on the rows of one window, for what no column condition can say.
 
-    Errors fail the query. A window's rows meet in one task, so prefer ``apply_constraints``.
+    An error of the rule fails the query; with ``on_error="null"`` its window has one row with its keys, where the
+    schema has them, and nulls elsewhere, and other windows are evaluated as ever. A window's rows meet in one task, so
+    prefer ``apply_constraints``.
     """
-    return readings.groupBy(*keys).applyInPandas(rule, schema)
+    if on_error not in ("raise", "null"):
+        raise ValueError("on_error is raise or null")
+    if on_error == "raise":
+        return readings.groupBy(*keys).applyInPandas(rule, schema)
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def guarded(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return rule(rows)
+        except Exception:  # noqa: BLE001 - what the caller asked for
+            return pd.DataFrame({c: [rows[c].iloc[0] if c in keys else None] for c in names})
+
+    return readings.groupBy(*keys).applyInPandas(guarded, schema)

@@ -182,3 +182,20 @@ def test_points_in_windows_of_all_lengths(spark):
     assert got == sorted((i, j) for i, t in points for j, s, e in spans if s is not None and s <= t <= e)
     assert intervals.grid_cells(w, "s", "e", second).groupBy("win").count().agg(F.max("count")).first()[0] <= 2
     assert intervals.points_in_windows(p, "t", w.limit(0), "s", "e", 1).count() == 0
+
+
+def test_errors_of_a_rule(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, 0.0), (3, 5.0)], "bucket long, value double")
+
+    def rule(rows):
+        if rows["value"].iloc[0] == 0:
+            raise ZeroDivisionError("no value")
+        return rows.assign(flagged=rows["value"].max() > 4)[["bucket", "flagged"]].head(1)
+
+    shape = "bucket long, flagged boolean"
+    got = {r.bucket: r.flagged for r in con.custom_rule(df, ["bucket"], rule, shape, on_error="null").collect()}
+    assert got == {1: False, 2: None, 3: True}
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        con.custom_rule(df, ["bucket"], rule, shape).collect()
+    with pytest.raises(ValueError):
+        con.custom_rule(df, ["bucket"], rule, shape, on_error="skip")
