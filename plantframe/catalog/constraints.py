@@ -312,12 +312,14 @@ def con_project(t: Tables):
 
 @query(
     "con_select_set",
-    """SELECT CAST(user_id % 3 AS BIGINT) AS plant, CASE user_id % 3 WHEN 0 THEN 'process' WHEN 1 THEN 'water' ELSE 'generic' END AS rules, count(*) AS n_rows FROM events GROUP BY 1, 2""",
+    f"""SELECT CAST(user_id % 4 AS BIGINT) AS plant, CASE user_id % 4 WHEN 0 THEN 'process' WHEN 1 THEN 'water' WHEN 2 THEN 'generic' ELSE 'generic' END AS rules,
+    CASE user_id % 4 WHEN 0 THEN 'named process' WHEN 1 THEN 'named water' WHEN 2 THEN '{REG.traffic} is missing' ELSE 'no rules of its own' END AS reason, count(*) AS n_rows FROM events GROUP BY 1, 2, 3""",
 )
 def con_select_set(t: Tables):
-    counts = t.events.groupBy((F.col("user_id") % 3).alias("plant")).agg(F.count(F.lit(1)).alias("n_rows"))
-    chosen = [ev.rule_set("process-plant", []), ev.rule_set("water-plant", [REG.traffic]), ev.rule_set("water-plant", SENSORS)]
-    return counts.withColumn("rules", F.get(F.array(*[F.lit(c) for c in chosen]), F.col("plant").cast("int")))
+    counts = t.events.groupBy((F.col("user_id") % 4).alias("plant")).agg(F.count(F.lit(1)).alias("n_rows"))
+    chosen = [ev.choose_rules(*c) for c in (("process-plant", []), ("water-plant", [REG.traffic]), ("water-plant", SENSORS), ("other", SENSORS))]
+    of = [F.get(F.array(*[F.lit(c[i]) for c in chosen]), F.col("plant").cast("int")) for i in (0, 1)]
+    return counts.select("plant", of[0].alias("rules"), of[1].alias("reason"), "n_rows")
 
 
 TRUTH = """truth AS (SELECT series, bucket, bool_or(sensor = 'error' AND value > 337.5) AS truth FROM bucketed GROUP BY 1, 2)"""
@@ -366,6 +368,37 @@ def con_per_rule_report(t: Tables):
     return ev.rule_report(stage(windows, "results"), list(IDS), 30 * 86400, 2).drop("series", "buffer_steps")
 
 
+def evaluation(t: Tables):
+    """The whole evaluation over the cubed readings, learnt from the warm-up part, by the rules that the name asks for."""
+    tags, loops = spec_tables(t)
+    rows = cubed(t.readings)
+    labelled = rows.withColumn("attack", (F.col("sensor") == "error") & (F.col("value") > 337.5))
+    return ev.evaluate(labelled, tags, loops, "plant", BUCKET_S, buffer_steps=2, slice_s=SLICE, train=baseline.warmup_rows(rows, ["series"], 0.15, SLICE))
+
+
+@query(
+    "con_evaluate",
+    f"""{HEAD}, {RESULTS}, {TRUTH}, lab AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY bucket) - 1 AS ord, truth, flagged FROM res JOIN truth USING (series, bucket)),
+    {event_sql('series', 2)} SELECT series, 'generic' AS rules, 'no rules of its own' AS reason, (SELECT count(*) FROM v) AS n_violations, {REPORT_COLS} FROM rep""",
+)
+def con_evaluate(t: Tables):
+    e = evaluation(t)
+    found = e.violations.agg(F.count(F.lit(1)).alias("n_violations"))
+    report = e.report.drop("buffer_steps").withColumn("_n", C.one_value(found))
+    return report.select("*", F.lit(e.rules).alias("rules"), F.lit(e.reason).alias("reason"), F.col("_n.n_violations").alias("n_violations")).drop("_n")
+
+
+@query(
+    "con_evaluate_rules",
+    f"""{HEAD}, {RESULTS}, {TRUTH}, fired AS (SELECT DISTINCT series, bucket, cid AS rule FROM v),
+    lab AS (SELECT w.series, r.rule, row_number() OVER (PARTITION BY w.series, r.rule ORDER BY w.bucket) - 1 AS ord, truth, f.rule IS NOT NULL AS flagged
+      FROM res w JOIN truth USING (series, bucket) CROSS JOIN (VALUES ('GC1'), ('GC2'), ('GC3'), ('GC4')) r(rule) LEFT JOIN fired f ON f.series = w.series AND f.bucket = w.bucket AND f.rule = r.rule),
+    {event_sql('series, rule', 2)} SELECT series, rule, {REPORT_COLS} FROM rep""",
+)
+def con_evaluate_rules(t: Tables):
+    return evaluation(t).per_rule.drop("buffer_steps")
+
+
 def with_evidence(rule: str, evidence: str) -> str:
     head, tail = rule.split(" FROM ", 1)
     return f"{head}, {evidence} FROM {tail}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -25,17 +25,16 @@ WATER = {"C1": 1.0, "C2": 1.0, "C3": 0.9, "C4": 0.9}
 SPEED_DEMAND, SPEED, POWER_DEMAND, SPEED_RAMP = "P2_AutoSD", "P2_SIT01", "P4_ST_PS", 50.0
 
 
-def rule_set(spec_name: str, tags: Sequence[str]) -> str:
-    """Which rules a data set gets: its own, or the generic ones.
+#: Part of a data set's name, the rules that go with it, and a tag they can't do without.
+RULE_SETS: dict[str, tuple[str, str | None]] = {"process": ("process", None), "water": ("water", con.PlantTags().traffic)}
 
-    The water plant's rules need the flow counts to be joined in; without them the generic ones apply.
-    """
-    name = spec_name.lower()
-    if name.startswith("process"):
-        return "process"
-    if name.startswith("water") and con.PlantTags().traffic in tags:
-        return "water"
-    return "generic"
+
+def choose_rules(spec_name: str, tags: Sequence[str], sets: Mapping[str, tuple[str, str | None]] = RULE_SETS) -> tuple[str, str]:
+    """Which rules a data set gets and why: its own by its name, the generic ones if it has none or misses a tag."""
+    for part, (rules, needed) in sets.items():
+        if part in spec_name.lower():
+            return ("generic", f"{needed} is missing") if needed is not None and needed not in tags else (rules, f"named {part}")
+    return "generic", "no rules of its own"
 
 
 def generic_violations(
@@ -100,6 +99,8 @@ class Evaluation:
     windows: DataFrame
     report: DataFrame
     per_rule: DataFrame
+    rules: str
+    reason: str
 
 
 def split_warmup(readings: DataFrame, share: float, slice_s: float) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +118,13 @@ def split_warmup(readings: DataFrame, share: float, slice_s: float) -> tuple[Dat
 def evaluate(
     readings: DataFrame, tags: DataFrame, loops: DataFrame, spec_name: str, window_s: int = 60,
     warmup: float = 0.15, buffer_steps: int = 60, slice_s: float = 3600.0, rules: str | None = None,
-    train: DataFrame | None = None,
+    train: DataFrame | None = None, sets: Mapping[str, tuple[str, str | None]] = RULE_SETS,
 ) -> Evaluation:
     """Readings ``(series, sensor, t_us, row_id, value, attack)`` to scores.
 
     The baseline comes from the first instants of each series, a share of ``warmup`` of them, and the rest is scored;
     with a table of its own to learn from (``train``), all of ``readings`` is scored. The window aggregate is written
-    once; rules, results and scores read that table.
+    once; rules, results and scores read that table. The result names the rules in use and why (``choose_rules``).
     """
     if train is None:
         train, readings = split_warmup(readings, warmup, slice_s)
@@ -131,7 +132,7 @@ def evaluate(
     bucketed = readings.withColumn("bucket", time_bucket(F.col("t_us"), window_s))
     keys, base_keys = ["series", "bucket"], ["series"]
     sensors = [row[0] for row in readings.select("sensor").distinct().collect()] if rules is None else []
-    chosen = rules or rule_set(spec_name, sensors)
+    chosen, reason = (rules, "asked for") if rules else choose_rules(spec_name, sensors, sets)
     baseline = stage(
         base.tag_baseline(train.withColumnRenamed("sensor", "tag"), ["series", "tag"], slice_s), "baseline"
     )
@@ -154,7 +155,7 @@ def evaluate(
     )
     line = window_s * 100_000.0
     report = scoring.event_report(labelled, ["series"], "t_us", "bucket", line, buffer_steps)
-    return Evaluation(found, windows, report, rule_report(labelled, list(confidences), line, buffer_steps))
+    return Evaluation(found, windows, report, rule_report(labelled, list(confidences), line, buffer_steps), chosen, reason)
 
 
 def rule_report(

@@ -140,3 +140,11 @@ def test_files_order_their_columns_differently(spark, tmp_path):
     (tmp_path / "c.csv").write_text("start,extra\n100,x\n")
     rows = {r.start: (r.duration, r.sLoad, r.extra) for r in text_table(spark, str(tmp_path)).collect()}
     assert rows == {"1": ("2", "3", None), "10": ("20", "30", None), "100": (None, None, "x")}
+
+
+def test_choice_of_rules():
+    own = {"boiler": ("process", "steam"), "pump": ("water", None)}
+    assert ev.choose_rules("Pump station", [], own) == ("water", "named pump")
+    assert ev.choose_rules("boiler-7", ["x"], own) == ("generic", "steam is missing")
+    assert ev.choose_rules("boiler-7", ["steam"], own) == ("process", "named boiler")
+    assert ev.choose_rules("mill", ["steam"], own) == ("generic", "no rules of its own")
