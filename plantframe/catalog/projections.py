@@ -86,7 +86,7 @@ def prj_numeric_only(t: Tables):
 )
 def prj_one_hot(t: Tables):
     o = t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("p"))
-    return align.one_hot(o, "p", ["F", "O", "unknown"]).drop("p")
+    return align.one_hot(o, "p").drop("p")
 
 
 NULLED = """nulled AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS a,

@@ -122,9 +122,24 @@ def with_count(windows: DataFrame, counts: DataFrame, on: Sequence[str], name: s
     return windows.join(counts, list(on), "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def one_hot(df: DataFrame, col: str, values: Sequence[str], missing: str = "unknown") -> DataFrame:
-    """One 0/1 column per known value; null counts as ``missing``."""
-    filled = F.coalesce(F.col(col), F.lit(missing))
+def one_hot(
+    df: DataFrame, col: str, values: Sequence[str] | None = None, missing: str = "unknown", most: int = 256, unseen: str = "error"
+) -> DataFrame:
+    """One 0/1 column per value, in the order of the values; null counts as ``missing``.
+
+    Without ``values`` they are those of the column; more than ``most`` are an error. With them, a row of another value
+    fails the query, or is zero in all columns with ``unseen="zero"``.
+    """
+    if unseen not in ("error", "zero"):
+        raise ValueError("unseen is error or zero")
+    filled = F.coalesce(F.col(col).cast("string"), F.lit(missing))
+    if values is None:
+        values = sorted(r[0] for r in df.select(filled).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"{col} has more than {most} values")
+    elif unseen == "error":
+        strange = F.raise_error(F.concat(F.lit(f"{col} has a value without a column: "), filled)).cast("string")
+        filled = F.when(filled.isin(*values), filled).otherwise(strange)
     return df.select("*", *[(filled == v).cast("int").alias(f"{col}_{v}") for v in values])
 
 

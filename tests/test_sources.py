@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plantframe.operators.specs import process_spec
 from plantframe.plans import evaluate as ev
 from plantframe.session import shared_folder, stage
+from plantframe.operators import align
 from plantframe.sources import readers, sinks
 from plantframe.sources.specs import load_specs
 
@@ -148,3 +149,14 @@ def test_choice_of_rules():
     assert ev.choose_rules("boiler-7", ["x"], own) == ("generic", "steam is missing")
     assert ev.choose_rules("boiler-7", ["steam"], own) == ("process", "named boiler")
     assert ev.choose_rules("mill", ["steam"], own) == ("generic", "no rules of its own")
+
+
+def test_one_hot_values(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "id long, c string")
+    got = align.one_hot(df, "c").orderBy("id")
+    assert got.columns == ["id", "c", "c_a", "c_b", "c_unknown"] and [tuple(r)[2:] for r in got.collect()] == [(0, 1, 0), (0, 0, 1), (1, 0, 0), (0, 1, 0)]
+    assert [r.c_a for r in align.one_hot(df, "c", ["a"], unseen="zero").orderBy("id").collect()] == [0, 0, 1, 0]
+    with pytest.raises(Exception, match="without a column: b"):
+        align.one_hot(df.filter("id <> 2"), "c", ["a"]).collect()
+    with pytest.raises(ValueError):
+        align.one_hot(df, "c", most=2)
