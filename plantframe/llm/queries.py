@@ -51,9 +51,8 @@ def op2_bpe(spark, folder):
     )
 
 
-@query(
-    "op4_quality",
-    r"""
+#: Measurements of all documents in SQL, as the table ``m``.
+MEASURED = r"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -66,7 +65,12 @@ def op2_bpe(spark, folder):
                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
                  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
                  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
-          FROM d JOIN w USING (r) LEFT JOIN covered USING (r)),
+          FROM d JOIN w USING (r) LEFT JOIN covered USING (r))"""
+
+
+@query(
+    "op4_quality",
+    MEASURED + r""",
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
            CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
@@ -84,6 +88,17 @@ def op4_quality(spark, folder):
     )
 
 
+@query(
+    "quality_ablations",
+    MEASURED + """, f AS (SELECT unnest([{rules}]) AS rule, unnest([{fails}]) AS fails, list_sum(list_transform([{fails}], lambda x: x::INT)) AS n FROM m)
+    SELECT rule, CAST(count(*) FILTER (fails) AS BIGINT) AS n_failed, CAST(count(*) FILTER (fails AND n = 1) AS BIGINT) AS n_failed_alone,
+           CAST(count(*) FILTER (n = 0 OR fails AND n = 1) AS BIGINT) AS n_kept_without FROM f GROUP BY rule
+    """.format(rules=", ".join(f"'{r}'" for r in quality.RULES), fails=", ".join(f"({c})" for c in quality.RULES.values())),
+)
+def quality_ablations(spark, folder):
+    return quality.ablations(quality.ledger(table(spark, folder, "documents")))
+
+
 @query("op10_idfiles")
 def op10_idfiles(spark, folder):
     manifest = idfiles.write_ids(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
