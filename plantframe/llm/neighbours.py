@@ -24,16 +24,18 @@ class Hashing:
     """Settings of the index. Vectors at ``cosine`` or more are met with a probability of about
     ``1 - (1 - success) ** tables`` or more."""
 
-    tables: int = 6
-    functions: int = 6
-    slots: int = 5
-    width: float = 1.2
+    tables: int = 2
+    functions: int = 8
+    slots: int = 3
+    width: float = 1.6
     cosine: float = 0.3
-    success: float = 0.45
+    success: float = 0.76
     seed: int = 7
     #: Vectors and queries that a task compares at once.
     block_vectors: int = 4096
     block_queries: int = 2048
+    #: Queries whose buckets a task orders.
+    probed_queries: int = 256
 
     def projections(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """Directions (tables, dim, functions) and offsets (tables, functions)."""
@@ -180,7 +182,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, hashing: Hashing
                     )
 
     placed = base.mapInArrow(place, "table int, grp int, bucket int, id long, v array<double>")
-    asking = asked.dropDuplicates(["id"]).mapInArrow(ask, "table int, grp int, visits array<int>, id long, v array<double>")
+    asked = asked.dropDuplicates(["id"])
+    # ordering buckets is the costly part of a query: spread over tasks, and done once
+    asked = asked.repartition(max(1, -(-asked.count() // hashing.probed_queries)), "id")
+    asking = stage(asked.mapInArrow(ask, "table int, grp int, visits array<int>, id long, v array<double>"), "probes")
     # a row for each group of a table: tables x groups of block_vectors rows on average
     parts = stage(placed.groupBy("table", "grp").agg(F.ceil(F.count("*") / hashing.block_vectors).cast("int").alias("n_v")).join(
         asking.groupBy("table", "grp").agg(F.ceil(F.count("*") / hashing.block_queries).cast("int").alias("n_q")), ["table", "grp"]
