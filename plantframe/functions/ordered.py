@@ -3,7 +3,7 @@
 A sensor's history, or the history of one plant, can be a large share of all rows, so a window
 partitioned by the key alone would put that share into one task. Everything here works on *slices*:
 a key's time line cut at fixed instants. Rows are ordered inside a slice only; what crosses a slice
-edge travels either as a copy of the few rows near the edge (``range_frame``) or as one summary row
+edge travels either as a copy of the rows near the edge (sliding windows) or as one summary row
 per slice (the other functions). Slices are cut by the clock, so every recomputation of a lost task
 cuts them the same way.
 
@@ -31,34 +31,6 @@ def with_slice(df: DataFrame, t: str, slice_s: float) -> DataFrame:
     return df.withColumn(SLICE, floor_to(F.col(t), int(slice_s * MICROS)))
 
 
-def range_frame(
-    df: DataFrame,
-    keys: Sequence[str],
-    t: str,
-    aggregates: dict[str, Column],
-    before_s: float,
-    after_s: float = 0.0,
-    slice_s: float | None = None,
-) -> DataFrame:
-    """Add aggregates over the rows of the same key within [t - before, t + after].
-
-    Each row is copied into the neighbouring slices whose frames reach it, at most two copies more.
-    """
-    before, after = int(before_s * MICROS), int(after_s * MICROS)
-    width = max(int((slice_s or 0) * MICROS), before + after, 1)
-    own = floor_to(F.col(t), width)
-    reached = F.array_distinct(
-        F.array(own, floor_to(F.col(t) + before, width), floor_to(F.col(t) - after, width))
-    )
-    copies = df.withColumn("_own", own).withColumn(SLICE, F.explode(reached))
-    frame = Window.partitionBy(*keys, SLICE).orderBy(t).rangeBetween(-before, after)
-    return (
-        copies.select("*", *[agg.over(frame).alias(name) for name, agg in aggregates.items()])
-        .filter(F.col(SLICE) == F.col("_own"))
-        .drop(SLICE, "_own")
-    )
-
-
 def _frame_slices(t: str, before: int, after: int, width: int) -> Column:
     """Starts of the slices with frames that a row belongs to; two at most, as a slice is as wide as a frame."""
     first, last = floor_to(F.col(t) - after, width), floor_to(F.col(t) + before, width)

@@ -51,8 +51,8 @@ def test_previous_ordinal_fill(spark, rows, slice_s):
 
 @pytest.mark.parametrize("slice_s", [None, 50])
 def test_range_frame(spark, rows, slice_s):
-    got = ordered.range_frame(
-        make(spark, rows), ["k"], "t_us", {"n": F.count("value"), "v": F.var_pop("value")}, 20, 5, slice_s
+    got = ordered.sliding_variance(
+        make(spark, rows), ["k"], "t_us", "value", 20, 5, slice_s, "n", "v"
     ).toPandas().set_index("row_id").sort_index()
     assert len(got) == len(rows)
     for r in rows.itertuples():
@@ -63,7 +63,7 @@ def test_range_frame(spark, rows, slice_s):
 
 def test_rolling_edge(spark):
     df = spark.createDataFrame([("a", t * S, i, v) for i, (t, v) in enumerate([(0, 1.0), (10, 2.0), (60, 5.0), (71, 5.0)])], "k string, t_us long, row_id long, value double")
-    got = ordered.range_frame(df, ["k"], "t_us", {"v": F.var_pop("value")}, 60).orderBy("t_us").toPandas()["v"]
+    got = ordered.sliding_variance(df, ["k"], "t_us", "value", 60, variance="v").orderBy("t_us").toPandas()["v"]
     np.testing.assert_allclose(got, [0, 0.25, 2.888889, 0], atol=1e-6)
 
 
