@@ -19,7 +19,8 @@ WEIGHTS = {"src0": 6.0, **{f"src{i}": 1.0 for i in range(1, 20)}}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go; the rest is unchanged."""
+    """Documents that the quality policy rejects go; the rest is unchanged. Null and empty texts have no words and go;
+    repeated rows fare alike."""
     return quality.apply_policy(quality.ledger(docs))
 
 
@@ -27,22 +28,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest id.
 
     Groups are those of the SimHash operator: fingerprints of three-word shingles, linked at two or fewer differing bits.
+    Null and empty texts are one group. Of rows that share the smallest id one stays, whichever order they come in.
     """
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; ``n_chars`` is that of the new text. No document goes."""
+    """Personal data is replaced by its kind; ``n_chars`` is that of the new text. No document goes; null and empty texts
+    and texts without spans stay as they are, repeated rows repeat, texts of any length are read whole."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out by their sources' target weights and put into a random order."""
+    """Documents are repeated or left out by their sources' target weights and put into a random order.
+
+    Rows of one id draw alike. A null source counts with those without a weight; a null text has no size.
+    """
     return mixing.mix(docs, WEIGHTS).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to it again."""
+    """Token ids of every text, and whether they decode to it again. Null counts as empty and has no ids; repeated rows
+    repeat, texts of any length are encoded whole."""
     path = tokenizer_path()
     ids = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), bpe.encode(F.col("text"), path).alias("ids"))
     return ids.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (bpe.decode(F.col("ids"), path) == F.col("text")).alias("round_trip"))
@@ -53,7 +60,7 @@ STAGES = [
     ("mixing", mix_sources), ("bpe", token_ids),
 ]
 
-#: Fingerprints and token ids have no SQL; tests compare the stages with brute force.
+#: Fingerprints and token ids have no SQL; tests compare every stage with brute force.
 ORACLE_SQL = None
 
 
