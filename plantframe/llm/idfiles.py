@@ -11,6 +11,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 
 from plantframe.session import scratch_path, stage
 
-from .bpe import encode_texts
+from .bpe import byte_characters, encode_texts
+from .words import text_bytes
 
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 16
-#: Distinct words that the library encodes in one call.
+#: Distinct words that the library encodes before their ids are put together.
 WORDS_AT_ONCE = 1 << 15
 MANIFEST = "shard int, file string, n_docs long, n_ids long"
 
@@ -148,14 +150,17 @@ def _library(path: str):
 
 
 def library_words(path: str):
-    """Ids of distinct pre-tokens by the tokenizers library: each is a text of its own that is not split further."""
+    """Ids of distinct pre-tokens by the tokenizers library's model. They are not split further, so all that is left to
+    do before is to write their bytes as the characters that stand for them."""
+    character = {byte: c for c, byte in byte_characters().items()}
 
     def of(distinct: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = [], []
+        ids, lengths, tokenize = [], [], _library(path).model.tokenize
         for low in range(0, len(distinct), WORDS_AT_ONCE):
-            words = distinct.slice(low, WORDS_AT_ONCE).view(pa.string()).to_pylist()
-            found = [e.ids for e in _library(path).encode_batch_fast(words, add_special_tokens=False)]
-            ids.append(np.fromiter((i for x in found for i in x), np.int64))
+            data, offsets = text_bytes(distinct.slice(low, WORDS_AT_ONCE).view(pa.string()))
+            text, at = data.tobytes().decode("latin-1").translate(character), offsets.tolist()
+            found = [[t.id for t in tokenize(text[i:j])] for i, j in zip(at, at[1:])]
+            ids.append(np.fromiter(chain.from_iterable(found), np.int64))
             lengths += map(len, found)
         return np.concatenate([*ids, np.zeros(0, np.int64)]), np.append(0, np.cumsum(lengths)).astype(np.int64)
 

@@ -166,6 +166,19 @@ def test_pretokens_are_the_library_s():
         assert [text[a:b].encode() for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)] == values[rows[i] : rows[i + 1]]
 
 
+def test_library_words_need_its_model_only(bpe_path, monkeypatch):
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_path)
+    words = [" the", "'s", "日本", " \U0001f600", "\n\n", "\x00", "\x7f\x80\xad", "1234567", "q" * 300, " É", "."]
+    monkeypatch.setattr(idfiles, "_library", lambda path: SimpleNamespace(model=library.model))
+    monkeypatch.setattr(idfiles, "WORDS_AT_ONCE", 3)
+    ids, at = idfiles.library_words(bpe_path)(pa.array(["x", *words], pa.string()).slice(1).view(pa.binary()))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_encoding_is_the_library_s(bpe_path, docs, no_docs):
     from tokenizers import Tokenizer
 
