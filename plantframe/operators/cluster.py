@@ -7,6 +7,7 @@ bounded size, one after the other, and each row keeps what it needs of the block
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import islice
 
 import numpy as np
@@ -26,6 +27,7 @@ from .profile import per_column, skew
 from .sampling import fixed_size
 
 BLOCK_ROWS = 20_000  # sample rows that are sent to all tasks at once
+DISTANCES = 1 << 19  # distances that a task has at once
 
 
 # ---- features --------------------------------------------------------------------------------
@@ -76,10 +78,25 @@ def _blocks(sample: DataFrame, vec: str, extra: str) -> Iterator[tuple[np.ndarra
         yield np.array([r[0] for r in block], dtype=float), np.array([r[1] for r in block])
 
 
+def _folded(x: Sequence, state: Sequence, points: np.ndarray, more: np.ndarray, fn) -> list:
+    """The rows' new states by one block of the sample, a few rows at a time."""
+    middle = points.mean(axis=0)  # far from the origin, squares of plain coordinates lose digits
+    points = points - middle
+    squares, step, parts = (points**2).sum(1), max(1, DISTANCES // max(1, len(points))), []
+    for at in range(0, len(x), step):
+        rows = np.stack(x[at : at + step]).astype(float) - middle
+        d = rows @ points.T
+        d *= -2
+        d += (rows**2).sum(1)[:, None] + squares[None, :]
+        parts.extend(fn(np.sqrt(np.maximum(d, 0.0, out=d), out=d), list(state[at : at + step]), more))
+    return parts
+
+
 def _fold(df: DataFrame, vec: str, sample: DataFrame, extra: str, out: str, fn) -> DataFrame:
     """Call ``fn(distances, state, extra)`` per batch of rows and block of the sample.
 
-    It gives the rows' new state, a list of numbers for each row; before the first block a state is empty.
+    It gives the rows' new state, a list of numbers for each row; before the first block a state is empty. A state
+    must not be a view of the distances, which would stay as long as it does.
     """
     spark = df.sparkSession
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -88,33 +105,26 @@ def _fold(df: DataFrame, vec: str, sample: DataFrame, extra: str, out: str, fn)
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            points, more = shared.value
-            middle = points.mean(axis=0)  # far from the origin, squares of plain coordinates lose digits
-            points = points - middle
-            squares = (points**2).sum(1)
             for pdf in batches:
-                parts = []
-                for at in range(0, len(pdf), 1024):
-                    x = np.stack(pdf[vec].iloc[at : at + 1024].to_numpy()).astype(float) - middle
-                    d2 = (x**2).sum(1)[:, None] + squares[None, :] - 2 * x @ points.T
-                    parts.extend(fn(np.sqrt(np.maximum(d2, 0.0)), list(pdf[out].iloc[at : at + 1024]), more))
-                pdf[out] = parts
+                pdf[out] = _folded(pdf[vec].to_numpy(), pdf[out].to_numpy(), *shared.value, fn)
                 yield pdf
 
         rows = rows.mapInPandas(run, f"{kept}, `{out}` array<double>")
     return rows
 
 
+def _smallest(k: int, d: np.ndarray, state: list, _) -> list:
+    if d.shape[1] > k:
+        d.partition(k - 1, axis=1)
+    every = np.concatenate([np.stack(state), d[:, :k]], axis=1)
+    return list(np.sort(every, axis=1)[:, :k].copy())
+
+
 def neighbour_distance(
     df: DataFrame, vec: str, sample: DataFrame, k: int = 4, out: str = "knn_distance"
 ) -> DataFrame:
     """Distance to the k-th nearest sample row. A row of the sample counts itself as the first."""
-
-    def smallest(d: np.ndarray, state: list, _) -> list:
-        every = np.concatenate([np.stack(state), d], axis=1)
-        return list(np.partition(every, k - 1, axis=1)[:, :k] if every.shape[1] > k else every)
-
-    found = _fold(df, vec, sample.withColumn("_none", F.lit(0)), "_none", out, smallest)
+    found = _fold(df, vec, sample.withColumn("_none", F.lit(0)), "_none", out, partial(_smallest, k))
     return found.withColumn(out, F.array_max(out))
 
 
