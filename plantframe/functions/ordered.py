@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .columns import MICROS, few, floor_to, join_keys
 
 SLICE = "_slice"
+#: Rows whose frames a task works out, on average; their copies and events are sorted in its memory.
+TASK_ROWS = 100_000
 #: Default length of a cooldown slice, in gaps.
 SLICE_GAPS = 64
 
@@ -74,37 +76,35 @@ def sliding_variance(
     """
     before, after = int(before_s * MICROS), int(after_s * MICROS)
     width = max(int((slice_s or 0) * MICROS), before + after, 1)
-    own = floor_to(F.col(t), width)
-    copies = df.select(*keys, F.struct(*df.columns).alias("_row"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), own.alias("_own"), F.explode(_frame_slices(t, before, after, width)).alias(SLICE))
+    others = [c for c in df.columns if c not in keys]
+    # a row travels with its copy in its own slice only, and without the keys
+    copies = df.select(*keys, F.struct(*others).alias("_row"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"), F.explode(_frame_slices(t, before, after, width)).alias(SLICE))
+    copies = copies.withColumn("_row", F.when(F.col(SLICE) == floor_to(F.col("_t"), width), F.col("_row")))
+    # as many tasks as the rows need: with a fixed number, a task's memory grows with the table
+    copies = copies.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS)), *keys, SLICE)
     inside = Window.partitionBy(*keys, SLICE)
     # only rows with a value have neighbours
-    known = inside.orderBy(F.col("_v").isNull(), "_t")
-    copies = copies.withColumn("_p", F.lag(F.struct("_t", "_v")).over(known)).withColumn("_c", F.avg("_v").over(inside))
-    copies = copies.withColumn("_d", F.col("_v") - F.col("_c"))
-    leave, met = F.col("_t") + before + 1, F.col("_p._t") + before + 1
-    enter = F.col("_t") - after
-    zero, none = F.lit(0), F.lit(0.0)
-
-    def event(at: Column, n: Column, d: Column, changes: Column, row: Column) -> Column:
+    known, at = inside.orderBy(F.col("_v").isNull(), "_t"), F.struct("_t", "_v")
+    copies = copies.withColumn("_p", F.lag(at).over(known)).withColumn("_f", F.lead(at).over(known)).withColumn("_c", F.avg("_v").over(inside))
+    enter, leave = F.col("_t") - after, F.col("_t") + before + 1
+    has, d = F.col("_v").isNotNull().cast("int"), F.coalesce(F.col("_v") - F.col("_c"), F.lit(0.0))
+    # two neighbours that differ are both in a frame from the later one's entry to the earlier one's exit
+    parted = F.coalesce((F.col("_p._v") != F.col("_v")) & (F.col("_p._t") + before + 1 > enter), F.lit(False)).cast("int")
+    parts = F.coalesce((F.col("_f._v") != F.col("_v")) & (leave > F.col("_f._t") - after), F.lit(False)).cast("int")
+
+    def event(at: Column, n: Column, changes: Column, row: Column) -> Column:
         return F.struct(at.alias("at"), n.alias("n"), (n * d).alias("s"), (n * d * d).alias("q"), changes.alias("c"), row.alias("row"))
 
-    no_row = F.lit(None).cast(df.schema)
-    moves = F.array(event(enter, F.lit(1), F.col("_d"), zero, no_row), event(leave, F.lit(-1), F.col("_d"), zero, no_row))
-    # two neighbours that differ are both in a frame from the later one's entry to the earlier one's exit
-    apart = F.array(event(enter, zero, none, F.lit(1), no_row), event(met, zero, none, F.lit(-1), no_row))
-    asked = F.array(event(F.col("_t"), zero, none, zero, F.col("_row")))
-    nothing = F.filter(asked, lambda e: F.lit(False))
-    events = F.concat(
-        F.when(F.col("_v").isNotNull(), moves).otherwise(nothing),
-        F.when((F.col("_p._v") != F.col("_v")) & (met > enter), apart).otherwise(nothing),
-        F.when(F.col(SLICE) == F.col("_own"), asked).otherwise(nothing),
-    )
-    events = copies.select(*keys, SLICE, F.explode(F.filter(events, lambda e: e["at"] < F.col(SLICE) + width)).alias("_e"))
+    zero, row, no_row = F.lit(0), F.col("_row"), F.lit(None).cast(df.select(F.struct(*others).alias("_row")).schema["_row"].dataType)
+    # a row that enters when it asks does both at once
+    events = [event(enter, has, parted, no_row if after else row), event(leave, -has, -parts, no_row)] + ([event(F.col("_t"), zero, zero, row)] if after else [])
+    matter = lambda e: (e["at"] < F.col(SLICE) + width) & ((e["n"] != 0) | e["row"].isNotNull())
+    events = copies.select(*keys, SLICE, F.explode(F.filter(F.array(*events), matter)).alias("_e"))
     line = inside.orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
-    run = events.select(F.col("_e.row").alias("_row"), *[F.sum(f"_e.{c}").over(line).alias(f"_{c}") for c in "nsqc"]).filter("_row IS NOT NULL")
+    run = events.select(*keys, F.col("_e.row").alias("_row"), *[F.sum(f"_e.{c}").over(line).alias(f"_{c}") for c in "nsqc"]).filter("_row IS NOT NULL")
     mean = F.col("_s") / F.col("_n")
     spread = F.when(F.col("_n") == 0, F.lit(None)).when(F.col("_c") == 0, 0.0).otherwise(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0)))
-    return run.select("_row.*", F.col("_n").alias(count), spread.alias(variance))
+    return run.select(*[F.col(c if c in keys else f"_row.{c}") for c in df.columns], F.col("_n").alias(count), spread.alias(variance))
 
 
 def _carry(

@@ -181,3 +181,16 @@ def test_sliding_frames_take_linear_time(spark):
 
     seconds(1000)
     assert seconds(400_000) < 60 * max(seconds(20_000), 0.3)
+
+
+def test_tasks_of_a_sliding_variance_grow_with_the_rows(spark, monkeypatch):
+    from plantframe.functions import ordered
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 20)
+    rows = [(i % 2, i // 2 * 1_000_000, float(i * i % 17) if i % 7 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, t long, v double")
+    out = ordered.sliding_variance(df, ["k"], "t", "v", 30, 10)
+    assert out.rdd.getNumPartitions() == 20 and out.columns == ["k", "t", "v", "n_window", "rolling_var"]
+    for r in out.collect():
+        near = [v for k, t, v in rows if k == r.k and v is not None and -30_000_000 <= t - r.t <= 10_000_000]
+        assert r.n_window == len(near) and abs(r.rolling_var - np.var(near)) < 1e-9
